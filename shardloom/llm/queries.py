@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import byte_bpe, decontaminate, pii, quality_rules, simhash
+from shardloom.llm import byte_bpe, decontaminate, hmm_lm, html_text, language_id, pii, pu_quality, quality_rules, simhash
 from shardloom.llm.common import table
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -19,10 +23,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_decontaminate, op4_pii, op7_byte_bpe, op9_simhash, op10_quality_rules]
+    found = [op2_hmm, op3_decontaminate, op4_pii, op5_pu_quality, op6_language_id, op7_byte_bpe, op8_html_text, op9_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
