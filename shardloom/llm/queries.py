@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shardloom.llm import byte_bpe, decontaminate, hmm_lm, html_text, language_id, pii, pu_quality, quality_rules, simhash
+from shardloom.llm import byte_bpe, decontaminate, hmm_lm, html_text, language_id, pii, pu_quality, quality_rules, simhash, token_output
 from shardloom.llm.common import table
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.scored(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_hmm, op3_decontaminate, op4_pii, op5_pu_quality, op6_language_id, op7_byte_bpe, op8_html_text, op9_simhash, op10_quality_rules]
+    found = [op1_token_output, op2_hmm, op3_decontaminate, op4_pii, op5_pu_quality, op6_language_id, op7_byte_bpe, op8_html_text, op9_simhash, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
