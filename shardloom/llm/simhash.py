@@ -11,11 +11,11 @@ segments leave, for some ordered pair of segments, one of two cases (pigeonhole)
 
 * 0 and at most 2 errors: keys are the first segment as it is, and every codeword index within 4 of the second.
   Two vectors at distance 2 share such a codeword: the nearest to a vector midway between them.
-* 1 and 1 errors: one side is indexed under the two nearest codewords, the other looks up all pairs of codewords
-  within 4 of its segments; the nearest codeword of x is within 4 of anything at distance 1 from x.
+* 1 and 1 errors: keys are all pairs of codeword indices within 4 of the two segments; the nearest codeword of x
+  is within 4 of anything at distance 1 from x.
 
 Equal fingerprints collapse before that, so copies are never paired. Fingerprints that meet under a key form a
-bucket. Buckets up to CHUNK are searched whole; larger ones are cut into chunks by hash and every pair of chunks
+bucket; buckets are read as a sorted stream. Buckets up to CHUNK are searched whole; larger ones are cut into chunks by hash and every pair of chunks
 is searched as a bucket of its own, so no task holds more than two chunks. A search keeps a spanning forest of the
 bucket's links, never its pairs: from each reached fingerprint all not yet reached ones within RADIUS are taken at
 once. Components come from large-star and small-star steps over the forest's edges, checkpointed in the shared
@@ -30,7 +30,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,34 +121,28 @@ def within4(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, _index_of()[vectors[row] ^ errors[at]].astype(np.int64)
 
 
-def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which print, key, part): part 0 is searched with itself and with both others' kin: 1 indexes, 2 looks up."""
+def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which print, key), without repeats of a pair."""
     seg = [((prints >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-    near = [nearest(s) for s in seg]
     wide = [within4(s) for s in seg]
-    rows, found, part = [], [], []
+    rows, found = [], []
     for i in range(3):
         for j in range(3):
             if i != j:  # 0 errors in i, up to 2 in j
                 row, cw = wide[j]
                 rows.append(row)
                 found.append(((i * 3 + j) << 40) | (seg[i][row] << 12) | cw)
-                part.append(np.zeros(len(row), np.int8))
-    for i, j in ((0, 1), (0, 2), (1, 2)):  # 1 error in each
+    for i, j in ((0, 1), (0, 2), (1, 2)):  # 1 error in each; the pair of nearest codewords is among those looked up
         tag = (16 + i * 3 + j) << 40
-        rows.append(np.arange(len(prints)))
-        found.append(tag | (near[i] << 12) | near[j])
-        part.append(np.full(len(prints), 1, np.int8))
         (ra, ca), (rb, cb) = wide[i], wide[j]
         nb = np.bincount(rb, minlength=len(prints))
-        begin = np.concatenate([[0], np.cumsum(nb)[:-1]])
+        begin = np.cumsum(nb) - nb
         k = nb[ra]
         a = np.repeat(np.arange(len(ra)), k)
-        b = np.repeat(begin[ra] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        b = np.repeat(begin[ra] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         rows.append(ra[a])
         found.append(tag | (ca[a] << 12) | cb[b])
-        part.append(np.full(len(a), 2, np.int8))
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(part)
+    return np.concatenate(rows), np.concatenate(found)
 
 
 def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -173,8 +167,8 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) among distinct fingerprints in column `print` (signed long): edges of spanning forests that together join all that is linked."""
+def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """(a, b) among distinct fingerprints in column `print` (signed long): edges of spanning forests that together join all that is linked. Also the path of a scratch table to drop once they are read."""
     if radius > RADIUS:
         raise ValueError(f"the keys find links of at most {RADIUS} bits")
     importable(prints.sparkSession)
@@ -183,28 +177,54 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
         for b in batches:
             x = np.array(b["print"], np.int64)
             for k in range(0, len(x), 2_000):
-                part = x[k : k + 2_000].view(np.uint64)
-                row, key, side = keys(part)
-                yield {"key": key.tolist(), "print": part.view(np.int64)[row].tolist(), "side": side.tolist()}
-
-    keyed = map_rows(prints.select("print"), emit, "key bigint, print bigint, side tinyint")
-    # A key with one print links nothing: only keys that two prints or more share go on.
-    keyed, path = stored(keyed, "keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi")
-    shared = shared.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    met = keyed.join(shared, "key")
-    small = met.where("parts = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "print")
-    own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
-    large = met.where("parts > 1").select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "print")
-    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        got = forest(np.unique(part["print"].to_numpy(np.int64)).view(np.uint64), radius)
-        a = np.array(got, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": a[:, 0], "b": a[:, 1]})
-
-    pairs = small.unionByName(large).groupBy("key", "i", "j")
-    return pairs.applyInPandas(search, "a bigint, b bigint").distinct(), path
+                part = x[k : k + 2_000]
+                row, key = keys(part.view(np.uint64))
+                yield {"key": pa.array(key), "print": pa.array(part[row])}
+
+    keyed = map_rows(prints.select("print"), emit, "key bigint, print bigint")
+    heavy, path = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "heavy")
+    place = F.lit(0).cast("int")
+    buckets = keyed.select("key", place.alias("i"), place.alias("j"), "print")
+    if not heavy.isEmpty():
+        parts = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
+        met = keyed.join(heavy, "key", "left").select("key", parts.alias("parts"), "print")
+        own = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
+        met = met.select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "print")
+        buckets = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
+
+    def search(batches):
+        held = None
+        for b in batches:
+            rows = np.stack([b.column(i).to_numpy() for i in range(4)])
+            held = rows if held is None else np.concatenate([held, rows], axis=1)
+            change = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(0))
+            if len(change):  # the last bucket may go on in the next batch
+                cut = int(change[-1]) + 1
+                yield _linked(held[:, :cut], radius)
+                held = held[:, cut:]
+        if held is not None:
+            yield _linked(held, radius)
+
+    dealt = buckets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(search, "a bigint, b bigint").distinct(), path
+
+
+def _linked(rows: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Links inside each run of equal (key, i, j): pairs of two in one go, a spanning forest of larger buckets."""
+    prints = rows[3].view(np.uint64) if rows.flags.c_contiguous else np.ascontiguousarray(rows[3]).view(np.uint64)
+    first = np.concatenate([[0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1])
+    size = np.diff(np.append(first, rows.shape[1]))
+    at = first[size == 2]
+    at = at[(np.bitwise_count(prints[at] ^ prints[at + 1]) <= radius) & (prints[at] != prints[at + 1])]
+    a, b = [prints[at]], [prints[at + 1]]
+    for k in np.flatnonzero(size > 2).tolist():
+        bucket = prints[first[k] : first[k] + size[k]]
+        if size[k] < 64 and not (np.bitwise_count(bucket ^ bucket[:, None]) <= radius).sum() > size[k]:
+            continue  # nothing here is near anything else
+        edges = np.array(forest(np.unique(bucket), radius), np.uint64).reshape(-1, 2)
+        a.append(edges[:, 0])
+        b.append(edges[:, 1])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
