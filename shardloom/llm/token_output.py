@@ -11,13 +11,16 @@ read() decodes the segments and holds every block against its checksum. It gives
 number of ids of all documents before it.
 
 Null and empty texts have only the end id. Null ids come first. Repeated rows are documents of their own. Texts
-are split at ASCII white space before the tokenizer sees them, and equal words are encoded once: the normalizer
-turns white space into one space and the pre-tokenizer drops it, so the ids are those of the whole text.
+are split at ASCII white space, with A-Z lower-cased, before the tokenizer sees them, and equal words are encoded
+once: the normalizer lower-cases and turns white space into one space, and the pre-tokenizer drops it, so the ids
+are those of the whole text. Words that the normalizer would not change go to the same tokenizer without it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,10 +33,17 @@ from shardloom.llm.common import drop_path, importable, map_rows, pieces, scratc
 
 END_ID = 1
 SEGMENT = range_coder.BLOCK * range_coder.LANES
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 800_000
+#: ASCII punctuation but the apostrophe, which the pre-tokenizer may join to letters after it.
+_PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
 _WORDS: dict[str, "Words"] = {}
 
 
+def _normal(text: str) -> bool:
+    """The tokenizer's normalizer would leave text as it is: lower case, composed, below U+0250, nothing unprintable."""
+    return text.isascii() and text.isprintable() or (max(text) < "\u0250" and text.isprintable() and text == text.lower() and unicodedata.is_normalized("NFC", text))
+
+
 class Words:
     """Ids of words, each encoded once for a worker process (at most KNOWN_WORDS are kept)."""
 
@@ -42,7 +52,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            self.plain = Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
+        for t in (self.tokenizer, self.plain):
+            t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bits = max(16, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.clear()
 
@@ -52,20 +65,43 @@ class Words:
         self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        new = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in new], np.int64)
-        begin = len(self.flat) + np.cumsum(size) - size
+        """Adds words. One that ends in punctuation has the ids of its parts, as the pre-tokenizer parts them there."""
+        whole, joint = {}, []
         for w in words:
-            self.index[w] = len(self.index)
-        self.flat = np.concatenate([self.flat, np.array([i for x in new for i in x], np.uint32)])
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+            core = w.rstrip(_PUNCTUATION)
+            if core != w and core[-1:].isalnum() and b"'" not in w:
+                joint.append((w, core, w[len(core) :]))
+                for part in joint[-1][1:]:
+                    if part not in self.index:
+                        whole[part] = None
+            else:
+                whole[w] = None
+        text = {w: w.decode("utf-8") for w in whole}
+        for tokenizer, some in ((self.plain, [w for w in whole if _normal(text[w])]), (self.tokenizer, [w for w in whole if not _normal(text[w])])):
+            new = [e.ids for e in tokenizer.encode_batch_fast([text[w] for w in some], add_special_tokens=False)]
+            self._add(some, np.array([len(x) for x in new], np.int64), np.array([i for x in new for i in x], np.uint32))
+        if joint:
+            at = np.array([[self.index[a], self.index[b]] for _, a, b in joint], np.int64)
+            self._add([w for w, _, _ in joint], self.size[at].sum(1), self._ids(at.ravel())[0])
+
+    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.size)
+        self.index.update(zip(words, range(n, n + len(words))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their index, joined, and where each word ends."""
+        size = self.size[at]
+        total = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[at] - (total - size), size) + np.arange(int(total[-1]) if len(at) else 0)], total
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         words: list[bytes] = []
         ends = []
         for t in texts:
-            words += t.encode("utf-8").split() if t else ()
+            words += t.encode("utf-8").lower().split() if t else ()
             words.append(b"")
             ends.append(len(words))
         if len(self.index) > KNOWN_WORDS:
@@ -74,9 +110,7 @@ class Words:
         if missing:
             self.learn(missing)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        total = np.cumsum(size)
-        ids = self.flat[np.repeat(self.begin[at] - (total - size), size) + np.arange(int(total[-1]))]
+        ids, total = self._ids(at)
         return np.split(ids, total[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [ids]
 
 
