@@ -9,7 +9,6 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -270,8 +269,8 @@ class Range(Algorithm):
 
     def column(self, columns, targets):
         col = columns[self.columns[0]].cast("bigint")
-        out = reduce(lambda w, r: (w or F).when(col.between(r[0], r[1]), F.lit(r[2])), self.ranges, None)
-        return out if out is not None else F.lit(None).cast("string")
+        choices = [F.when(col.between(low, high), F.lit(target)) for low, high, target in self.ranges]
+        return F.coalesce(*choices, F.lit(None).cast("string"))
 
     def route(self, conditions, targets):
         match conditions.get(self.columns[0]):
