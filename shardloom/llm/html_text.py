@@ -54,6 +54,13 @@ TABLE = """
 200 0.01 6 0.00 10 0.00 0 1 : 1
 6 0.00 8 0.00 12 0.00 0 1 : 1
 15 0.00 0 0.00 0 0.00 0 1 : 1
+1 0.00 1 1.00 5 0.00 0 1 : 1
+2 0.00 2 1.00 3 0.00 0 1 : 1
+4 0.00 3 1.00 4 1.00 0 1 : 1
+7 0.20 2 1.00 2 1.00 0 1 : 1
+1 0.00 0 0.00 1 1.00 0 1 : 1
+9 0.00 8 0.00 2 1.00 0 1 : 1
+3 1.00 2 1.00 3 1.00 0 1 : 1
 120 0.00 100 0.00 90 0.00 0 0 : 1
 45 0.05 30 0.00 80 0.00 0 0 : 1
 30 0.00 60 0.00 25 0.00 0 0 : 1
@@ -62,6 +69,10 @@ TABLE = """
 8 0.00 2 1.00 60 0.00 0 0 : 1
 10 0.00 50 0.00 55 0.00 0 0 : 1
 5 0.00 70 0.00 40 0.00 0 0 : 1
+3 0.00 1 0.00 0 0.00 0 0 : 1
+4 0.00 5 0.00 9 0.00 0 0 : 1
+6 0.00 12 0.00 2 0.00 0 0 : 1
+2 0.00 3 0.00 4 0.00 0 0 : 1
 3 0.00 90 0.00 80 0.00 0 0 : 1
 18 0.00 0 0.00 0 0.00 0 0 : 1
 40 0.00 0 0.00 0 0.00 0 0 : 1
@@ -69,6 +80,9 @@ TABLE = """
 35 0.00 4 1.00 3 1.00 0 0 : 1
 4 0.00 0 0.00 0 0.00 0 0 : 1
 1 1.00 0 0.00 1 1.00 0 0 : 0
+2 1.00 0 0.00 0 0.00 0 0 : 0
+9 1.00 0 0.00 0 0.00 0 0 : 0
+20 1.00 0 0.00 0 0.00 0 0 : 0
 2 1.00 1 1.00 2 1.00 0 0 : 0
 3 0.67 2 1.00 2 1.00 0 0 : 0
 1 1.00 2 1.00 50 0.00 0 0 : 0
@@ -76,7 +90,6 @@ TABLE = """
 4 0.00 1 1.00 1 1.00 0 0 : 0
 3 0.00 2 1.00 4 0.00 0 0 : 0
 5 0.00 3 0.00 2 1.00 0 0 : 0
-4 0.00 5 0.00 3 0.00 0 0 : 0
 6 0.00 30 0.00 0 0.00 1 0 : 0
 12 0.70 10 0.80 8 0.90 0 0 : 0
 25 0.80 20 0.90 30 0.85 0 0 : 0

@@ -1,6 +1,6 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A text's fingerprint has bit b set if more than half of its word shingles' hashes have it (XXH64 of the UTF-8
+A-Z are lower-cased; words are runs of characters other than U+0020 and U+0009-U+000D. A text's fingerprint has bit b set if more than half of its word shingles' hashes have it (XXH64 of the UTF-8
 shingle, seed 42; shingles of SHINGLE words, repeats included; fewer words are one shingle; a text without words,
 null or empty, has fingerprint zero and links like any other). Fingerprints within RADIUS bits are linked, and a
 component is what links reach.
@@ -49,7 +49,7 @@ def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
     """uint64 fingerprints."""
     digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), np.uint64)
     for i, t in enumerate(texts):
-        words = t.encode("utf-8", "surrogatepass").split() if t else []
+        words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
         if not words:
             continue
         if len(words) <= shingle:
