@@ -9,7 +9,7 @@ that hold a digit or '@') as other, email, ip, card or phone:
 * skip potentials between tokens of a document that repeat or resemble each other (same digits, or the same name
   before or without '@'), linked occurrence to next occurrence, so a group of m tokens has m - 1 edges.
 
-Weights are fitted here by pseudo-likelihood on at most TRAIN_DOCS documents, labelled by the fixed patterns.
+Weights are fitted here by pseudo-likelihood on at most TRAIN_DOCS documents of TRAIN_CHARS at most, labelled by the fixed patterns.
 Loopy sum-product message passing runs over all documents of a batch at once; base labels are clamped. A token
 outside every base span whose marginal for a kind reaches MARGIN adds a span (without surrounding punctuation; neighbours of one kind make one).
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from shardloom.llm.common import importable, map_rows, pieces
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 2_000
+TRAIN_DOCS, TRAIN_CHARS = 2_000, 20_000
 MARGIN = 0.9
 STEPS = 8
 Span = tuple[int, int, int]  # start, kind, end
@@ -240,7 +240,8 @@ def spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[
 
 def train(df: DataFrame, text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
     """Weights from at most `most` documents that hold a digit or '@', the first by hash of their text."""
-    some = df.where(F.col(text_col).rlike("[0-9@]")).select(text_col, F.xxhash64(text_col).alias("h")).where("pmod(h, 8) = 0").limit(most).select(text_col)
+    short = df.where(F.length(text_col) <= TRAIN_CHARS)
+    some = short.where(F.col(text_col).rlike("[0-9@]")).select(text_col, F.xxhash64(text_col).alias("h")).where("pmod(h, 8) = 0").limit(most).select(text_col)
     return fit(Graph(r[0] for r in some.toLocalIterator()))
 
 

@@ -2,7 +2,7 @@
 
 Each rule rejects a text by itself and the text is kept if none does, so the order of the rules never changes a
 result; it only decides how early a bad text leaves. cascade() estimates each rule's cost and selectivity on a
-bounded sample (SAMPLE rows) and orders the rules by rejections per second.
+bounded sample (SAMPLE rows of SAMPLE_CHARS at most) and orders the rules by rejections per second.
 
 Words are runs of characters other than U+0020 and U+0009-U+000D. A null or empty text has no words and fails
 few_words. Lines end at U+000A; a line counts as repeated if it has a word and equals an earlier line.
@@ -27,7 +27,7 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 30
 MAX_DUP_LINE_PERCENT = 50
 MAX_UPPER_PERCENT = 50
-SAMPLE = 1_000
+SAMPLE, SAMPLE_CHARS = 1_000, 50_000
 _SPACE = " \t\n\r\x0b\f"
 _NOT_UPPER = bytes(x for x in range(256) if not 65 <= x <= 90)
 _NOT_LETTER = bytes(x for x in range(256) if not (65 <= x <= 90 or 97 <= x <= 122))
@@ -132,7 +132,8 @@ def order(costs: list[tuple[str, float, float]]) -> list[str]:
 
 def cascade(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sample: int = SAMPLE) -> list[Rule]:
     """The rules in the order to apply. The sample is bounded and only sets the order."""
-    some = [r[0] for r in df.where(F.xxhash64(text_col) % 16 == 0).select(text_col).limit(sample).collect()]
+    short = df.where(F.length(text_col) <= SAMPLE_CHARS)
+    some = [r[0] for r in short.where(F.xxhash64(text_col) % 16 == 0).select(text_col).limit(sample).collect()]
     by = dict(rules)
     return [(name, by[name]) for name in order(measured(some, rules))] if some else list(rules)
 
