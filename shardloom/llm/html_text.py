@@ -24,7 +24,7 @@ from shardloom.llm.common import importable, map_rows, pieces
 
 # Element names of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY_SELF = frozenset("dd dt li option p td th tr".split())
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu button select dialog".split())
