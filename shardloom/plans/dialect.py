@@ -18,20 +18,20 @@ class DialectError(ValueError):
 
 _TOKEN = re.compile(
     r"""
-    (?P<space>\s+|--[^\n]*|/\*.*?\*/)
+    (?P<name>(?![eE]')[A-Za-z_][\w$]*)
+  | (?P<space>\s+|--[^\n]*|/\*.*?\*/)
   | (?P<string>[eE]?'(?:[^'\\]|\\.|'')*')
   | (?P<dollar>\$(?P<tag>[A-Za-z_]*)\$.*?\$(?P=tag)\$)
   | (?P<quoted>"(?:[^"]|"")*"|`(?:[^`]|``)*`)
   | (?P<param>\$\d+|:[A-Za-z_]\w*)
   | (?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)
-  | (?P<name>[A-Za-z_][\w$]*)
   | (?P<op>\#>>|\#>|->>|->|!~\*|!~|~\*|~|@@|@>|<@|\?\||\?&|&&|\|\||::|<=>|<>|!=|>=|<=|:=|[-+*/%<>=(),.;\[\]?^&|:])
     """,
     re.X | re.S,
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -41,22 +41,25 @@ class Token:
 
 
 def tokenize(sql: str) -> list[Token]:
-    out, at = [], 0
-    while at < len(sql):
-        m = _TOKEN.match(sql, at)
-        if m is None:
-            raise DialectError(f"unexpected character {sql[at]!r} at {at}")
-        kind = m.lastgroup if m.lastgroup != "tag" else "dollar"
-        if m.group("dollar"):
-            kind = "dollar"
-        out.append(Token(kind, m[0]))
-        at = m.end()
-    return out
+    return _tokens(sql, False)
 
 
 def code(sql: str) -> list[Token]:
     """Tokens without white space and comments."""
-    return [t for t in tokenize(sql) if t.kind != "space"]
+    return _tokens(sql, True)
+
+
+def _tokens(sql: str, bare: bool) -> list[Token]:
+    out, at, end = [], 0, len(sql)
+    step = _TOKEN.scanner(sql).match
+    while at < end:
+        m = step()
+        if m is None:
+            raise DialectError(f"unexpected character {sql[at]!r} at {at}")
+        kind, at = m.lastgroup, m.end()
+        if not bare or kind != "space":
+            out.append(Token("dollar" if kind == "tag" else kind, m[0]))
+    return out
 
 
 def text_of(tokens: list[Token]) -> str:
@@ -426,10 +429,6 @@ def _vector(x: str) -> str:
     return f"array_distinct(filter(split(lower({x}), {_WORDS}), w -> w <> ''))"
 
 
-def _query(x: str) -> str:
-    return f"array_distinct(filter(split(lower({x}), {_WORDS}), w -> w <> ''))"
-
-
 def _format(x: str) -> str:
     for a, b in _FORMATS:
         x = x.replace(a, b)
@@ -438,8 +437,8 @@ def _format(x: str) -> str:
 
 _CALLS: dict[str, Any] = {
     "TO_TSVECTOR": lambda a: _vector(a[-1]),
-    "TO_TSQUERY": lambda a: _query(a[-1]),
-    "PLAINTO_TSQUERY": lambda a: _query(a[-1]),
+    "TO_TSQUERY": lambda a: _vector(a[-1]),
+    "PLAINTO_TSQUERY": lambda a: _vector(a[-1]),
     "TS_RANK": lambda a: f"size(array_intersect({a[0]}, {a[1]}))",
     "GENERATE_SERIES": lambda a: f"explode(sequence({', '.join(a)}))",
     "TO_CHAR": lambda a: f"date_format({a[0]}, {_format(a[1])})",
