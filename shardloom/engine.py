@@ -14,7 +14,7 @@ from shardloom.metrics import ShardingMetrics
 from shardloom.plans import dialect as D
 from shardloom.plans.inference import infer
 from shardloom.plans.router import Router
-from shardloom.rw import Splitter
+from shardloom.rw import Splitter, is_write
 from shardloom.sources.catalog import Derived, Logical, Store, Union
 from shardloom.sources.nodes import Node
 
@@ -47,6 +47,7 @@ class Engine:
         self.router, self.metrics = Router(rules), ShardingMetrics()
         self.logical: dict[str, Logical] = {}
         self.views: set[str] = set()
+        self.routines: dict[str, str] = {}
 
     # -- tables --
 
@@ -145,6 +146,18 @@ class Engine:
         with self.metrics.query():
             return dml.execute(self, text, args)
 
+    def define(self, name: str, body: str) -> None:
+        """A table function or procedure: one statement with placeholders."""
+        self.routines[name.lower()] = body
+
+    def call(self, name: str, *args: Any) -> DataFrame | Result:
+        """Rows of a query, or the result of a statement that writes."""
+        try:
+            body = self.routines[name.lower()]
+        except KeyError:
+            raise D.DialectError(f"no routine {name}") from None
+        return self.execute(body, *args) if is_write(body) else self.sql(body, *args)
+
     def transaction(self):
         from shardloom.txn import Transaction
 

@@ -159,6 +159,11 @@ def execute(engine: Engine, text: str, args: tuple, into: list | None = None) ->
         n = store.frame(version).count()
         _finish(store, Change(version, drop=store.leaves(version)), into)
         return Result(n)
+    if head == "MERGE":
+        return _merge(engine, statement.sql, statement.args(args), into)
+    if m := re.fullmatch(r"\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMPORARY\s+)?VIEW\s+`?(\w+)`?\s+AS\s+(.*)", statement.sql, re.I | re.S):
+        engine.register(m[1], _select(engine, m[2], statement.args(args)))
+        return Result(0)
     if head not in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
         engine.spark.sql(_ddl(statement.sql), args=statement.args(args) or None)
         return Result(0)
@@ -269,6 +274,80 @@ def _read(store: Store, leaves: list[str]) -> DataFrame:
     return store.spark.read.schema(store.schema).parquet(*(f"{store.path}/{x}" for x in leaves))
 
 
+def _merge(engine: Engine, sql: str, given: dict[str, Any], into: list | None) -> Result:
+    """MERGE INTO t USING source ON condition WHEN [NOT] MATCHED [AND c] THEN ...; of WHEN MATCHED clauses the first that fits counts.
+    A target row that several source rows match is an error."""
+    from shardloom.engine import Result
+
+    r = _Reader(D.code(sql))
+    r.take("MERGE", "INTO")
+    table = r.name()
+    r.take("AS")
+    name = table if r.peek() == "USING" else r.name()
+    r.take("USING")
+    source = D._spaced(r.until("ON"))
+    r.take("ON")
+    on = D._spaced(r.until("WHEN"))
+    store = engine.store(table)
+    fields, version, view = store.schema.fields, store.version(), "__target"
+    base = store.frame(version).drop(DS, TBL, TX).withColumn("__row", F.monotonically_increasing_id())
+    base.createOrReplaceTempView(view)
+    try:
+        twice = _select(engine, f"SELECT {name}.__row FROM {view} AS {name} JOIN {source} ON {on} GROUP BY {name}.__row HAVING count(*) > 1", given)
+        if not twice.isEmpty():
+            raise D.DialectError(f"several source rows match one row of {table}")
+        same = ", ".join(f"{name}.`{f.name}`" for f in fields)
+        joined, alone = f"{view} AS {name} JOIN {source} ON {on}", f"{view} AS {name} LEFT ANTI JOIN {source} ON {on}"
+        kept, written, affected, earlier, fresh = [f"SELECT {same} FROM {alone}"], [], 0, "false", "false"
+        while r.take("WHEN"):
+            no = r.take("NOT")
+            r.take("MATCHED")
+            extra = D._spaced(r.until("THEN")) if r.take("AND") else "true"
+            r.take("THEN")
+            if no:
+                r.take("INSERT")
+                columns = r.names() if r.peek() == "(" else [f.name for f in fields]
+                r.take("VALUES")
+                values = dict(zip(columns, _listed(r.until("WHEN")[1:-1])))
+                what = ", ".join(f"CAST(({values.get(f.name, 'NULL')}) AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields)
+                written.append(f"SELECT {what} FROM {source} LEFT ANTI JOIN {view} AS {name} ON {on} WHERE coalesce(({extra}), false) AND NOT ({fresh})")
+                fresh = f"({fresh}) OR coalesce(({extra}), false)"
+                continue
+            chosen = f"coalesce(({extra}), false) AND NOT ({earlier})"
+            if r.take("DELETE"):
+                affected += _select(engine, f"SELECT 1 FROM {joined} WHERE {chosen}", given).count()
+            else:
+                r.take("UPDATE")
+                r.take("SET")
+                sets = dict(_sets(r.until("WHEN")))
+                what = ", ".join(f"CAST(({sets[f.name]}) AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name in sets else f"{name}.`{f.name}`" for f in fields)
+                written.append(f"SELECT {what} FROM {joined} WHERE {chosen}")
+            earlier = f"({earlier}) OR coalesce(({extra}), false)"
+        kept.append(f"SELECT {same} FROM {joined} WHERE NOT ({earlier})")
+        leaves = [x for q in written for x in store.written(_select(engine, q, given))]
+        affected += _read(store, leaves).count()
+        change = store.replace(store.table.nodes, _select(engine, " UNION ALL ".join(kept), given), version)
+        change.add += leaves
+    finally:
+        engine.spark.catalog.dropTempView(view)
+    _finish(store, change, into)
+    return Result(affected)
+
+
+def _listed(toks: list[D.Token]) -> list[str]:
+    """Expressions between commas outside brackets."""
+    out, depth, part = [], 0, []
+    for t in [*toks, D.Token("op", ",")]:
+        depth += t.text == "("
+        depth -= t.text == ")"
+        if t.text == "," and depth == 0:
+            out.append(D._spaced(part))
+            part = []
+        else:
+            part.append(t)
+    return out
+
+
 def _change(engine: Engine, store: Store, w: Write, given: dict[str, Any], into: list | None) -> Result:
     from shardloom.engine import Result
 

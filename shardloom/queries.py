@@ -309,6 +309,21 @@ write("dml_update_returning", "SELECT o_orderkey, 'U' AS o_orderstatus FROM orde
 write("dml_delete_returning", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7", "DELETE FROM t_order WHERE o_custkey = 7 RETURNING o_orderkey, o_orderstatus", returning=True)
 write("dml_insert_returning", "SELECT CAST(900000000001 AS bigint) AS o_orderkey, 'X' AS st", "INSERT INTO t_order (o_orderkey, o_custkey, o_orderstatus) VALUES (900000000001, 4, 'X') RETURNING o_orderkey, o_orderstatus AS st", returning=True)
 write("dml_truncate", f"SELECT {_STATE} FROM orders WHERE false", "TRUNCATE TABLE t_order")
+write("dml_merge", "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 7 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, CAST(cast(o_totalprice AS decimal(18,2)) AS double) AS o_totalprice FROM orders WHERE o_custkey <> 10 UNION ALL SELECT o_orderkey + 900000000000, 8, 'N', CAST(0 AS double) FROM orders WHERE o_custkey = 7", "MERGE INTO t_order t USING (SELECT o_orderkey AS k, o_custkey AS c FROM t_order WHERE o_custkey IN (7, 10) UNION ALL SELECT o_orderkey + 900000000000, 8 FROM t_order WHERE o_custkey = 7) s ON t.o_orderkey = s.k WHEN MATCHED AND s.c = 10 THEN DELETE WHEN MATCHED THEN UPDATE SET o_orderstatus = 'M' WHEN NOT MATCHED THEN INSERT (o_orderkey, o_custkey, o_orderstatus, o_totalprice) VALUES (s.k, s.c, 'N', 0)")
+
+
+@query("view_over_shards", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def _view(spark, sf_dir):
+    e = engine(spark, sf_dir, only={"t_order"})
+    e.execute("CREATE VIEW order_counts AS SELECT o_custkey, count(*) AS n FROM t_order GROUP BY o_custkey")
+    return e.sql("SELECT * FROM order_counts WHERE n > 12")
+
+
+@query("table_function", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7")
+def _table_function(spark, sf_dir):
+    e = engine(spark, sf_dir, only={"t_order"})
+    e.define("get_user_orders", "SELECT o_orderkey, o_orderstatus FROM t_order WHERE o_custkey = $1")
+    return e.call("get_user_orders", 7)
 
 
 @query("txn_two_tables", "SELECT (SELECT count(*) FROM orders WHERE o_custkey <> 7) AS orders_left, (SELECT count(*) FROM customer WHERE c_custkey <> 7) AS users_left")

@@ -195,3 +195,32 @@ def test_null_keys_are_kept(spark, tmp_path):
     e.attach_store("t_order", f"{tmp_path}/o", spark.createDataFrame([(None, None, "a", 1.0), (1, 1, "b", 2.0)], SCHEMA))
     assert e.sql("SELECT * FROM t_order").count() == 2
     assert e.sql("SELECT * FROM t_order WHERE user_id IS NULL").count() == 1
+
+
+def test_merge_into(engine):
+    sql = "MERGE INTO t_order AS t USING (SELECT 1000 AS k, 5.0 AS v UNION ALL SELECT 7777, 6.0) s ON t.order_id = s.k WHEN MATCHED THEN UPDATE SET amount = s.v WHEN NOT MATCHED THEN INSERT (order_id, user_id, amount) VALUES (s.k, 3, s.v)"
+    assert engine.execute(sql).affected == 2
+    assert rows(engine.sql("SELECT order_id, amount FROM t_order WHERE order_id IN (1000, 7777)")) == [(1000, 5.0), (7777, 6.0)]
+    assert engine.sql("SELECT * FROM t_order").count() == 13
+    with pytest.raises(DialectError):
+        engine.execute("MERGE INTO t_order t USING (SELECT 1000 AS k UNION ALL SELECT 1000) s ON t.order_id = s.k WHEN MATCHED THEN DELETE")
+
+
+def test_jdbc_nodes(spark, tmp_path):
+    """Each node a table of a Derby database, read through JDBC with the filter pushed down."""
+    from shardloom.config import DataSource
+    from shardloom.sources.catalog import jdbc_frames
+
+    e = Engine(spark, rules(), "postgresql")
+    table = e.router["t_order"]
+    url = {s: f"jdbc:derby:{tmp_path}/{s};create=true" for s in table.sources}
+    dealt = table.dealt(spark.createDataFrame(ORDERS, SCHEMA))
+    for n in table.nodes:
+        part = dealt.where((F.col(DS) == n.source) & (F.col(TBL) == n.table)).drop(DS, TBL)
+        part.write.jdbc(url[n.source], n.table, properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    sources = {s: DataSource("derby", u) for s, u in url.items()}
+    e.attach_nodes("t_order", jdbc_frames(spark, table, sources, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver"))
+    df = e.sql("SELECT order_id FROM t_order WHERE user_id = 2")
+    assert rows(df) == [(1000,), (1001,)]
+    plan = df._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and plan.split("== Physical Plan ==")[-1].count("JDBC") == 2
