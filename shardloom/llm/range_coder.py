@@ -74,7 +74,7 @@ class _Model:
         self.s2, s1 = self.stretch[self.q2 >> 4], self.stretch[self.q1 >> 4]
         self.s1 = np.where(self.agree, s1, -s1)
         dot = (self.w2[:m] * self.s2 + self.w1[:m] * self.s1 + (self.wb[:m] << 8)) >> 16
-        self.p = self.squash[np.clip(dot, -2048, 2047) + 2048]
+        self.p = self.squash[np.minimum(np.maximum(dot, -2048), 2047) + 2048]
         f2 = self.p << 4
         self.ib = self.at256[:m] + (self.k2 << 4) + self.k1
         self.qb = self.second[self.ib]
@@ -96,7 +96,7 @@ class _Model:
         fresh = (ids << 4) + 1
         for last, h, a, k, hit in ((self.last2, self.h2, self.a2, self.k2, hit2), (self.last1, self.h1, self.a1, self.k1, hit1)):
             missed = np.where(k > 1, (a << 4) + (k >> 1), fresh)
-            last[h] = np.where(hit, (a << 4) + np.minimum(k + 1, 15), missed)
+            last[h] = np.where(hit, (a << 4) + np.minimum(k + 1, 15), missed).astype(np.uint32)
         self.prev2[:m] = self.prev1[:m]
         self.prev1[:m] = ids
 
@@ -168,7 +168,7 @@ def _encode(grid: np.ndarray, sizes: np.ndarray, bits: int) -> list[bytes]:
     low, span, pos = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
 
     def shift(low, span, pos, row):
-        words[row + pos] = low >> 32
+        words[row + pos] = (low >> 32).astype(np.uint32)  # casting inside the assignment is far slower
         need = span < _LIMIT
         pos += need
         low[:] = np.where(need, (low & _LOW32) << 16, low)
