@@ -30,7 +30,7 @@ ENDED_BY_SELF = frozenset("dd dt li option p td th tr".split())
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu button select dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 #: Words in class, id or role that name what is not the article.
-OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form header masthead menu modal nav navbar navigation newsletter notice popup promo promotion related reply replies share sharing sidebar signup social sponsor sponsored subscribe widget".split())
+OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popular popup promo promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toc toolbar trending widget".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
