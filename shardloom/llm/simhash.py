@@ -282,7 +282,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = near_duplicates(df, id_col, text_col)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("__n"))
     keep, _ = stored(keep, "keep")
-    rows = df.join(keep.select(F.col(id_col).alias("__id"), "__n"), df[id_col].eqNullSafe(F.col("__id"))).drop("__id")
+    # The ids grow with the documents, so they are never broadcast: the same sort-merge join at every size.
+    rows = df.join(keep.select(F.col(id_col).alias("__id"), "__n").hint("merge"), df[id_col].eqNullSafe(F.col("__id"))).drop("__id")
     once = rows.where("__n = 1").drop("__n")
     if keep.where("__n > 1").isEmpty():
         return once
