@@ -249,21 +249,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
-def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, print as a signed long)."""
+def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, print as a signed long), and the columns `more` of df as they are."""
     importable(df.sparkSession)
 
     def run(batches):
         for b in batches:
             for x in pieces(b, text_col):
-                yield {id_col: x[id_col], "print": fingerprints(x[text_col], shingle).view(np.int64).tolist()}
+                yield {id_col: x[id_col], "print": fingerprints(x[text_col], shingle).view(np.int64).tolist(), **{c: x[c] for c in more}}
 
-    return map_rows(df.select(id_col, text_col), run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, print bigint")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, *more))
+    return map_rows(df.select(id_col, text_col, *more), run, f"{kinds}, print bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(id_col, fingerprint, component_id): component_id is the smallest id of the component."""
-    docs, _ = stored(fingerprinted(df, id_col, text_col), "prints")
+def _classified(df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, chunk: int = CHUNK, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *more, print, root, component_id): root is a fingerprint that stands for the component, whatever the ids are."""
+    docs, _ = stored(fingerprinted(df, id_col, text_col, more=more), "prints")
     distinct = docs.groupBy("print").agg(F.min(id_col).alias("first"))
     distinct, distinct_path = stored(distinct, "distinct")
     edges, keys_path = links(distinct, radius, chunk)
@@ -271,20 +272,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop_path(df.sparkSession, keys_path)
     classes = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print, _ = stored(classes.join(least, "root").select("print", "component_id"), "classes")
+    by_print, _ = stored(classes.join(least, "root").select("print", "root", "component_id"), "classes")
     for path in (distinct_path, roots_path):
         drop_path(df.sparkSession, path)
-    return docs.join(by_print, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(by_print, "print")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(id_col, fingerprint, component_id): component_id is the smallest id of the component."""
+    return _classified(df, id_col, text_col, radius, chunk).select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Two hashes of the text, 128 bits: with the id they name a row, so rows that share an id, or have none, stay apart.
+_KEY = ("__a", "__b")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df with all their columns, one of each component: that of the smallest id. Rows that repeat that id leave one; rows with a null id in a component of others go."""
-    found = near_duplicates(df, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("__n"))
-    keep, _ = stored(keep, "keep")
+    """The rows of df with all their columns, exactly one of each component: that of the smallest id, null ids last, then of the smallest text key. Rows that repeat that id and text leave one, the least by all columns."""
+    keyed = df.withColumns(dict(zip(_KEY, (F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)))))
+    same = _classified(keyed, id_col, text_col, more=_KEY).groupBy("root", id_col, *_KEY).agg(F.count("*").alias("__n"))
+    best = same.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *_KEY, "__n")).alias("k"))
+    keep, _ = stored(best.select(F.col("k.id").alias("__id"), F.col("k.__a").alias("__ka"), F.col("k.__b").alias("__kb"), F.col("k.__n").alias("__n")), "keep")
     # The ids grow with the documents, so they are never broadcast: the same sort-merge join at every size.
-    rows = df.join(keep.select(F.col(id_col).alias("__id"), "__n").hint("merge"), df[id_col].eqNullSafe(F.col("__id"))).drop("__id")
-    once = rows.where("__n = 1").drop("__n")
+    met = keyed[id_col].eqNullSafe(keep["__id"]) & (keyed["__a"] == keep["__ka"]) & (keyed["__b"] == keep["__kb"])
+    rows = keyed.join(keep.hint("merge"), met)
+    once = rows.where("__n = 1").select(*df.columns)
     if keep.where("__n > 1").isEmpty():
         return once
-    return once.unionByName(rows.where("__n > 1").drop("__n").dropDuplicates([id_col]))
+    row = F.struct(*df.columns)
+    least = rows.where("__n > 1").groupBy(id_col, *_KEY).agg(F.min_by(row, row.cast("string")).alias("__row"))
+    return once.unionByName(least.select("__row.*"))
