@@ -180,15 +180,21 @@ class _Writer:
 
     def parameters(self) -> None:
         n = 0
-        for t in self.toks:
+        for i, t in enumerate(self.toks):
             if t.kind == "param" and t.text.startswith("$"):
                 t.text = f":p{t.text[1:]}"
                 n = max(n, int(t.text[2:]))
-            elif t.text == "?" and t.kind == "op" and not (self.dialect == "postgresql" and self.dollars):
+            elif t.text == "?" and t.kind == "op" and not (self.dialect == "postgresql" and (self.dollars or self.key_test(i))):
                 n += 1
                 t.kind, t.text = "param", f":p{n}"
         self.params = [f"p{i}" for i in range(1, n + 1)]
 
+    def key_test(self, at: int) -> bool:
+        """Whether the `?` there stands between an operand and a string: JSON's operator, as no placeholder can."""
+        before, after = self.toks[at - 1 : at], self.toks[at + 1 : at + 2]
+        ends = any(t.kind in ("quoted", "string") or t.text in (")", "]") or (t.kind == "name" and t.word() not in _STOP) for t in before)
+        return ends and any(t.kind == "string" for t in after)
+
     def close(self, at: int) -> int:
         """Place of the bracket that ends the one at `at`."""
         depth = 0
