@@ -4,6 +4,11 @@ A page is cut into blocks at block-level tags. A block has its words, its link d
 links), those of the blocks before and after it, and what kind of container holds it. A decision tree (Gini, fitted
 here to TABLE) says whether a block is main text; main blocks are joined in page order by one space.
 
+An element is hidden by its attribute `hidden`, by display:none in its style or by aria-hidden=true; hidden text is
+never main text. The words of class, id and role tell containers apart; the ids of headings, paragraphs and inline
+elements are anchors and tell nothing, and that of a section only if all its words do. Long prose among long prose
+is kept even in a container whose words speak against it.
+
 Comments, scripts, styles, heads and the like are never text. Character references are decoded; white space inside
 a block becomes one space and is trimmed. Null, empty and markup-free pages: no html gives an empty text; text
 without tags is one block like any other. Unclosed and misnested tags are tolerated: an end tag closes up to its
@@ -32,10 +37,15 @@ MAIN_TAGS = frozenset("article main".split())
 #: Words in class, id or role that name what is not the article.
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popular popup promo promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toc toolbar trending widget".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
+#: Outside words that no main word beside them cancels.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
+#: Words that may stand beside an outside word in the id of a section that is no anchor.
+BOX_WORDS = frozenset("area articles bar block box buttons container content form holder inner items links list media panel post posts section stories wrap wrapper".split())
+ANCHOR_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
+_NO_DISPLAY = re.compile(r"\bdisplay\s*+:\s*+none\b", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 
 #: words, link density, words before, density before, words after, density after, outside container (0/1), main container (0/1): is main text
@@ -102,6 +112,19 @@ TABLE = """
 90 0.00 80 0.00 70 0.00 1 0 : 0
 12 0.20 50 0.00 0 0.00 1 0 : 0
 30 0.00 12 0.00 0 0.00 1 1 : 0
+180 0.00 4 0.00 6 0.00 1 1 : 0
+240 0.01 3 0.00 5 0.00 1 0 : 0
+160 0.00 2 1.00 3 0.00 1 0 : 0
+150 0.00 120 0.00 4 0.00 1 1 : 0
+170 0.00 6 0.00 140 0.00 1 0 : 0
+2 0.00 200 0.00 3 0.00 1 1 : 0
+3 0.00 180 0.00 0 0.00 1 0 : 0
+2 0.00 0 0.00 200 0.00 1 0 : 0
+2 0.00 180 0.00 190 0.00 1 1 : 0
+180 0.00 150 0.00 160 0.00 1 1 : 1
+220 0.01 140 0.00 180 0.00 1 1 : 1
+160 0.00 200 0.02 150 0.00 1 0 : 1
+260 0.02 170 0.00 210 0.00 1 0 : 1
 8 0.00 40 0.00 50 0.00 1 1 : 0
 60 0.00 90 0.00 20 0.00 1 1 : 0
 3 1.00 60 0.00 4 1.00 1 1 : 0
@@ -112,12 +135,33 @@ MAX_DEPTH = 6
 
 
 class Block:
-    __slots__ = ("linked", "main", "outside", "parts", "words")
+    __slots__ = ("hidden", "linked", "main", "outside", "parts", "words")
 
-    def __init__(self, outside: bool, main: bool):
+    def __init__(self, outside: bool, main: bool, hidden: bool = False):
         self.parts: list[str] = []
         self.words = self.linked = 0
-        self.outside, self.main = outside, main
+        self.outside, self.main, self.hidden = outside, main, hidden
+
+
+def named(tag: str, attrs: str) -> tuple[set[str], bool]:
+    """(words of class, role and id that tell what the element holds, whether it is hidden)."""
+    words: set[str] = set()
+    hidden = False
+    for name, *value in _ATTR.findall(attrs):
+        name, held = name.lower(), "".join(value)
+        if name in ("class", "role"):
+            words.update(map(str.lower, _PARTS.findall(held)))
+        elif name == "id" and tag in BLOCK_TAGS and tag not in ANCHOR_TAGS:
+            found = set(map(str.lower, _PARTS.findall(held)))
+            if tag != "section" or found <= OUTSIDE_WORDS | MAIN_WORDS | BOX_WORDS:
+                words |= found
+        elif name == "hidden":
+            hidden = hidden or not held.lower().startswith(("false", "until"))
+        elif name == "style":
+            hidden = hidden or bool(_NO_DISPLAY.search(held))
+        elif name == "aria-hidden":
+            hidden = hidden or held.strip().lower() == "true"
+    return words, hidden
 
 
 def blocks(page: str | None) -> list[tuple[str, Block]]:
@@ -125,8 +169,8 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
     if not page:
         return []
     found: list[tuple[str, Block]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, outside, main, in a link
-    state = (False, False, False)
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # open elements: name, outside, main, in a link, hidden
+    state = (False, False, False, False)
     now = Block(False, False)
 
     def text(piece: str) -> None:
@@ -141,7 +185,7 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
         nonlocal now
         if now.words:
             found.append((" ".join("".join(now.parts).split()), now))
-        now = Block(state[0], state[1])
+        now = Block(state[0], state[1], state[3])
 
     at, n = 0, len(page)
     while at < n:
@@ -188,17 +232,17 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
             if name in ENDED_BY_SELF and stack and stack[-1][0] == name:  # an implied end
                 state = stack.pop()[1:]
             stack.append((name, *state))
-            outside, main, link = state
-            hint = {w for g in _ATTR.findall(attrs) for w in map(str.lower, _PARTS.findall("".join(g)))} if attrs and "=" in attrs else ()
+            outside, main, link, hidden = state
+            hint, unseen = named(name, attrs) if attrs else ((), False)
             if name in MAIN_TAGS:
                 main, outside = True, bool(hint and hint & OUTSIDE_WORDS) or (outside and main)
             elif name not in ("html", "body"):
                 # An article's own header is part of it; other outside tags are not, wherever they stand.
-                outside = outside or (name in OUTSIDE_TAGS and not (name == "header" and main)) or bool(hint and hint & OUTSIDE_WORDS and not hint & MAIN_WORDS) or bool(attrs and _HIDDEN.search(attrs))
+                outside = outside or (name in OUTSIDE_TAGS and not (name == "header" and main)) or bool(hint and hint & OUTSIDE_WORDS and (hint & COMMENT_WORDS or not hint & MAIN_WORDS))
                 main = main or bool(hint and hint & MAIN_WORDS)
-            state = (outside, main, link or name == "a")
+            state = (outside, main, link or name == "a", hidden or unseen)
         if name in BLOCK_TAGS:
-            now.outside, now.main = state[0], state[1]
+            now.outside, now.main, now.hidden = state[0], state[1], state[3]
     close()
     return found
 
@@ -254,7 +298,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    keep = shares(tree(), features(found)) >= 0.5
+    keep = (shares(tree(), features(found)) >= 0.5) & ~np.array([b.hidden for _, b in found])
     return " ".join(t for (t, _), k in zip(found, keep.tolist()) if k)
 
 
