@@ -7,10 +7,13 @@ that hold a digit or '@') as other, email, ip, card or phone:
 * unary potentials: coarse shape features, so that a mangled number still looks like its kind;
 * chain potentials between neighbouring active tokens;
 * skip potentials between tokens of a document that repeat or resemble each other (same digits, or the same name
-  before or without '@'), linked occurrence to next occurrence, so a group of m tokens has m - 1 edges.
+  before or without '@'), linked occurrence to next occurrence, so a group of m tokens has m - 1 edges;
+* the same potentials, after fitting, between the group's first recognised token of each kind and its unrecognised
+  ones, so evidence reaches every occurrence in one step however long the group is.
 
 Weights are fitted here by pseudo-likelihood on at most TRAIN_DOCS documents of TRAIN_CHARS at most, labelled by the fixed patterns.
-Loopy sum-product message passing runs over all documents of a batch at once; base labels are clamped. A token
+Loopy sum-product message passing runs over all documents of a batch at once, each until its messages change by less
+than TOLERANCE (or for a number of rounds that grows with its edges); base labels are clamped. A token
 outside every base span whose marginal for a kind reaches MARGIN adds a span (without surrounding punctuation; neighbours of one kind make one).
 
 Null and empty texts have no spans; texts are read whole; positions are code points, ends exclusive. A document's
@@ -34,7 +37,7 @@ from shardloom.llm.common import importable, map_rows, pieces
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_CHARS = 2_000, 20_000
 MARGIN = 0.9
-STEPS = 8
+TOLERANCE, LEAST_ROUNDS = 1e-4, 100
 Span = tuple[int, int, int]  # start, kind, end
 
 _ANY = re.compile(r"[0-9@]")
@@ -130,12 +133,13 @@ class Graph:
         feats: list[list[float]] = []
         chain: list[tuple[int, int]] = []
         skip: list[tuple[int, int]] = []
+        far: list[tuple[int, int]] = []
         for d, text in enumerate(texts):
             base = base_spans(text)
             self.base.append(base)
             if not text or not _ANY.search(text):
                 continue
-            last: dict[str, int] = {}
+            groups: dict[str, list[int]] = {}
             b, previous = 0, -1
             for m in _ACTIVE.finditer(text):
                 at, token = len(self.span), m[0]
@@ -150,14 +154,20 @@ class Graph:
                 if previous >= 0 and start - self.span[previous][1] == 1:
                     chain.append((previous, at))
                 for key in likeness(token):
-                    if key in last:
-                        skip.append((last[key], at))
-                    last[key] = at
+                    group = groups.setdefault(key, [])
+                    if group:
+                        skip.append((group[-1], at))
+                    group.append(at)
                 previous = at
+            for group in groups.values():
+                if len(group) > 2:
+                    first = {self.label[x]: i for i, x in reversed(list(enumerate(group))) if self.label[x]}
+                    far += [(group[i], x) for i in first.values() for j, x in enumerate(group) if not self.label[x] and abs(i - j) > 1]
         self.features = np.array(feats, np.float64).reshape(-1, N_FEATURES)
         self.labels = np.array(self.label, np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.far = np.array(far, np.int64).reshape(-1, 2)
 
 
 class Field:
@@ -192,26 +202,40 @@ def fit(graph: Graph, steps: int = 200, rate: float = 0.5, decay: float = 1e-3)
     return Field(unary, chain, skip)
 
 
-def marginals(graph: Graph, field: Field, steps: int = STEPS) -> np.ndarray:
-    """Loopy sum-product over all edges at once; labels of base spans are clamped. Rows sum to 1."""
+def marginals(graph: Graph, field: Field, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Loopy sum-product over all edges at once, each document until it has converged; labels of base spans are clamped. Rows sum to 1."""
     local = graph.features @ field.unary
     fixed = graph.labels > 0
     local[fixed] = -50.0
     local[fixed, graph.labels[fixed]] = 50.0
-    edges = np.concatenate([graph.chain, graph.skip])
-    tables = np.concatenate([np.repeat(field.chain[None], len(graph.chain), 0), np.repeat(np.diag(field.skip)[None], len(graph.skip), 0)])
+    edges = np.concatenate([graph.chain, graph.skip, graph.far])
+    tables = np.concatenate([np.repeat(field.chain[None], len(graph.chain), 0), np.repeat(np.diag(field.skip)[None], len(edges) - len(graph.chain), 0)])
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     weight = np.exp(np.concatenate([tables, tables.transpose(0, 2, 1)]))
     m, half = np.zeros((len(source), N_LABELS)), len(edges)
-    for _ in range(steps if half else 0):
-        belief = local.copy()
-        np.add.at(belief, target, m)
-        back = np.concatenate([m[half:], m[:half]])
-        out = belief[source] - back
-        out = np.einsum("el,elk->ek", np.exp(out - out.max(1, keepdims=True)), weight)
-        new = np.log(np.maximum(out / out.sum(1, keepdims=True), 1e-30))
-        m = 0.5 * m + 0.5 * new
+    doc = np.array(graph.doc, np.int64)[edges[:, 0]]
+    limit = LEAST_ROUNDS + 2 * np.bincount(doc, minlength=1)  # a damped message takes about two rounds an edge
+    live, done = np.arange(half), 0
+    while len(live):
+        both = np.concatenate([live, live + half])
+        nodes, place = np.unique(np.concatenate([source[both], target[both]]), return_inverse=True)
+        start, end = place[: len(both)], place[len(both) :]
+        unary, table, now, of = local[nodes], weight[both], m[both], doc[live]
+        stop = np.zeros(len(limit), bool)
+        while not stop[of].any():  # no document's rounds depend on those of others in the batch
+            belief = unary.copy()
+            np.add.at(belief, end, now)
+            out = belief[start] - np.concatenate([now[len(live) :], now[: len(live)]])
+            out = np.einsum("el,elk->ek", np.exp(out - out.max(1, keepdims=True)), table)
+            new = np.log(np.maximum(out / out.sum(1, keepdims=True), 1e-30))
+            moved = np.abs(new - now).max(1)
+            now, done = 0.5 * now + 0.5 * new, done + 1
+            most = np.zeros(len(limit))
+            np.maximum.at(most, of, np.maximum(moved[: len(live)], moved[len(live) :]))
+            stop = (most < tolerance) | (done >= limit)
+        m[both] = now
+        live = live[~stop[of]]
     belief = local
     np.add.at(belief, target, m)
     p = np.exp(belief - belief.max(1, keepdims=True))

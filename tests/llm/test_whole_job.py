@@ -2,7 +2,10 @@
 
 import random
 
-from shardloom.llm import simhash
+import numpy as np
+import pytest
+
+from shardloom.llm import html_text, language_id, pii, pu_quality, simhash
 
 
 def prose(seed, n=40):
@@ -31,3 +34,84 @@ def test_deduplicated_lone_null_id_lets_no_copy_back_in(spark):
     rows = [(None, prose(1)), (3, prose(2)), (None, prose(2))]
     found = [tuple(r) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert len(found) == 2 and set(found) == {(None, prose(1)), (3, prose(2))}
+
+
+# -- personal data --
+
+
+def test_evidence_reaches_every_occurrence():
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.zeros((5, 5)), np.full(5, 4.0))
+    text = "call +1 (017) 555-7713 now " + " or ".join(["555-7713"] * 40) + " and 999"
+    graph = pii.Graph([text])
+    free = [i for i in range(len(graph.labels)) if graph.labels[i] == 0]
+    p = pii.marginals(graph, field)
+    assert p[free[:-1], 4].min() >= pii.MARGIN and p[free[-1], 4] < 0.3
+    base, every = pii.spans([text], field)[0]
+    assert len(every) == len(base) + 40
+    assert pii.spans(["a@b.example " * 3, text, "no 12345 or 12345"], field)[1] == (base, every)
+
+
+def test_messages_run_until_they_settle():
+    field = pii.Field(np.zeros((pii.N_FEATURES, 5)), np.eye(5) * 12.0, np.zeros(5))
+    graph = pii.Graph(["jo@mail.example " + " ".join(str(i) for i in range(30))])
+    assert pii.marginals(graph, field)[:, 1].min() >= pii.MARGIN
+
+
+# -- html --
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><div class='overflow-hidden'><p>Kept text.</p></div><p title='The hidden cost'>More.</p><section id='hidden-figures'><p>Third.</p></section></article>", "Kept text. More. Third."),
+        ("<article><h2 id='related-work'>Related work</h2><p>One.</p><h2 id=search-methods>Search</h2><p id=share>Two.</p><section id='social-effects'><p>Three.</p></section></article>", "Related work One. Search Two. Three."),
+        ("<article><p>Seen.</p><p hidden>a</p><div style='color:red; display : none'><p>b</p></div><p aria-hidden=true>c</p><p HIDDEN=''>d</p></article>", "Seen."),
+        ("<article><p hidden='until-found'>Found.</p><p aria-hidden='false' data-id='comments'>Too.</p></article>", "Found. Too."),
+        ("<article><p>Body.</p><div class='comment-content'><p>Great post, thank you for it.</p></div><section id='comments-list'><p>I liked it as well.</p></section></article>", "Body."),
+        (f"<div class='social-entry-menu'>{'<p>' + 'long words here ' * 60 + '</p>'}</div>", ("long words here " * 60).strip()),
+    ],
+)
+def test_article_text_is_kept(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_long_prose_stays_in_a_container_that_speaks_against_it():
+    part = " ".join(["word"] * 200)
+    form = "".join(f"<p>{part}</p>" for _ in range(5))
+    assert html_text.main_text(f"<form>{form}</form>").count(part) >= 3
+    assert html_text.main_text(f"<div id=comments><p>Jo</p><p>{part}</p><p>3 May</p></div>") == ""
+    assert html_text.main_text(f"<article><p>Ok.</p><div hidden>{form}</div></article>") == "Ok."
+
+
+# -- languages --
+
+
+def test_more_than_four_languages():
+    names = [chr(c) * 3 for c in range(ord("a"), ord("g"))]
+    table = np.full((language_id.BUCKETS, 6), 1e-7)
+    for i, w in enumerate(names):
+        of, bucket = language_id.trigrams([w])
+        table[bucket, i] = 1 / 3
+    chosen, shares = language_id.infer([" ".join(names * 50)], table.astype(np.float32))
+    assert np.allclose(shares[0], 1 / 6, atol=0.01)
+
+
+def test_a_small_share_of_a_long_text():
+    table = np.full((language_id.BUCKETS, 3), 1e-7)
+    for i, w in enumerate(["aaa", "bbb", "ccc"]):
+        table[language_id.trigrams([w])[1], i] = 1 / 3
+    chosen, shares = language_id.infer([" ".join(["aaa"] * 9_850 + ["bbb"] * 150), "aaa " * 500], table.astype(np.float32))
+    assert chosen.tolist() == [0, 0] and abs(shares[0, 1] - 0.015) < 0.002 and shares[0, 2] == 0 and (shares[1] > 0).tolist() == [True, False, False]
+
+
+# -- positive-unlabelled quality --
+
+
+def test_labels_on_every_document(spark):
+    rng = random.Random(0)
+    words = {1: ["the", "of", "thing", "paper"], 0: ["A###", "B%%%", "C&&&"]}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(80))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    found = {r["doc_id"]: r["predicted"] for r in pu_quality.scored(docs, labels).collect()}
+    assert np.mean([found[i] == i % 2 for i, _ in rows]) > 0.97
