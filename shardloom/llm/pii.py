@@ -11,7 +11,8 @@ that hold a digit or '@') as other, email, ip, card or phone:
 * the same potentials, after fitting, between the group's first recognised token of each kind and its unrecognised
   ones, so evidence reaches every occurrence in one step however long the group is.
 
-Weights are fitted here by pseudo-likelihood on at most TRAIN_DOCS documents of TRAIN_CHARS at most, labelled by the fixed patterns.
+Weights are fitted here by pseudo-likelihood on the first TRAIN_DOCS distinct texts, by hash, of those of TRAIN_CHARS at
+most that hold a digit or '@', labelled by the fixed patterns; copies and the order of rows don't matter.
 Loopy sum-product message passing runs over all documents of a batch at once, each until its messages change by less
 than TOLERANCE (or for a number of rounds that grows with its edges); base labels are clamped. A token
 outside every base span whose marginal for a kind reaches MARGIN adds a span (without surrounding punctuation; neighbours of one kind make one).
@@ -263,10 +264,13 @@ def spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[
 
 
 def train(df: DataFrame, text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
-    """Weights from at most `most` documents that hold a digit or '@', the first by hash of their text."""
+    """Weights from at most `most` distinct texts that hold a digit or '@', the first by their hash, then by themselves."""
     short = df.where(F.length(text_col) <= TRAIN_CHARS)
-    some = short.where(F.col(text_col).rlike("[0-9@]")).select(text_col, F.xxhash64(text_col).alias("h")).where("pmod(h, 8) = 0").limit(most).select(text_col)
-    return fit(Graph(r[0] for r in some.toLocalIterator()))
+    some = short.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # Hashes alone are made distinct over all rows; texts only up to the last hash that is needed.
+    last = some.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    first = some.where(F.col("h") <= F.lit(last)).distinct().orderBy("h", "text").limit(most)
+    return fit(Graph(r["text"] for r in first.collect()))
 
 
 def written(spans: list[Span]) -> str:

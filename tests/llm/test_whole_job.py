@@ -115,3 +115,15 @@ def test_labels_on_every_document(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
     found = {r["doc_id"]: r["predicted"] for r in pu_quality.scored(docs, labels).collect()}
     assert np.mean([found[i] == i % 2 for i, _ in rows]) > 0.97
+
+
+# -- the sample of the field --
+
+
+def test_field_is_fitted_to_the_first_distinct_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda graph: seen.append(sorted(graph.span)) or len(graph.base))
+    texts = [f"mail u{i}@x.example " + "a" * i for i in range(30)] + ["copy 1@"] * 500 + ["no sign", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [pii.train(df.repartition(n), most=10) for n in (1, 7)] == [10, 10] and seen[0] == seen[1]
+    assert pii.train(df) == 31 and pii.train(df.limit(0)) == 0
