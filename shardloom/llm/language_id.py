@@ -4,7 +4,8 @@ Each language has a distribution over hashed character trigrams (BUCKETS buckets
 character is a word edge, and each letter is the middle of one trigram), counted over all training documents. A
 document is a mixture of languages: expectation-maximisation estimates the proportions from the trigrams'
 likelihoods, and the language set is chosen by penalised likelihood (each further language must gain more than
-PENALTY * log(trigrams)). The prediction is the largest proportion of the chosen set.
+PENALTY * log(trigrams)). Sets grow by the full mixture's proportions, up to all learned languages, for as long as a
+larger set can still win: the full mixture's likelihood plus its duality gap bounds what any set reaches. The prediction is the largest proportion of the chosen set.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. Ties go to
 the smaller language name. Texts are read whole. Repeated rows count, and are answered, each. The model is
@@ -24,8 +25,7 @@ from shardloom.llm.common import id_bucket, importable, map_rows, pieces
 BUCKETS = 1 << 16
 ALPHA = 0.05
 PENALTY = 3.0
-STEPS, SET_STEPS, MAX_SET = 8, 5, 4
-SURE = 0.98
+STEPS, SET_STEPS = 8, 5
 MAX_LANGS = 1_000
 CHUNK_CHARS = 2 << 20
 
@@ -109,20 +109,28 @@ def infer(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nd
     share = _em(np.full((len(docs), size), 1 / size), p, n, first, local, total, STEPS)
     best, score = np.zeros_like(share), single.max(1)
     best[np.arange(len(docs)), single.argmax(1)] = 1.0
-    open_ = np.flatnonzero((share.max(1) < SURE) | (single.argmax(1) != share.argmax(1)))
-    if len(open_) and size > 1:
-        mask = np.isin(local, open_)
-        p, n = p[mask], n[mask]
-        _, first = np.unique(local[mask], return_index=True)
-        sub = np.repeat(np.arange(len(open_)), np.diff(np.append(first, len(n))))
-        rank = np.argsort(np.argsort(-share[open_], axis=1, kind="stable"), axis=1, kind="stable")
-        for k in range(2, min(size, MAX_SET) + 1):
-            start = np.where(rank < k, np.maximum(share[open_], 1e-3), 0)
-            got = _em(start / start.sum(1, keepdims=True), p, n, first, sub, total[open_], SET_STEPS)
-            fit = np.add.reduceat(n * np.log(np.maximum((p * got[sub]).sum(1), 1e-30)), first) - PENALTY * (k - 1) * np.log(total[open_] + 1)
-            better = fit > score[open_]
-            score[open_[better]] = fit[better]
-            best[open_[better]] = got[better]
+    # The likelihood is concave in the shares, so no mixture exceeds that of `share` by more than the gap.
+    mixed = np.maximum((p * share[local]).sum(1), 1e-30)
+    gap = np.add.reduceat(p * (n / mixed)[:, None], first, axis=0).max(1) - total
+    reach, cost = np.add.reduceat(n * np.log(mixed), first) + gap, PENALTY * np.log(total + 1)
+    open_ = np.arange(len(docs))
+    ranks = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
+    sub = local
+    for k in range(2, size + 1):
+        able = reach[open_] - (k - 1) * cost[open_] > score[open_]
+        if not able.all():
+            mask, open_ = able[sub], open_[able]
+            p, n = p[mask], n[mask]
+            _, first = np.unique(sub[mask], return_index=True)
+            sub = np.repeat(np.arange(len(open_)), np.diff(np.append(first, len(n))))
+        if not len(open_):
+            break
+        start = np.where(ranks[open_] < k, np.maximum(share[open_], 1e-3), 0)
+        got = _em(start / start.sum(1, keepdims=True), p, n, first, sub, total[open_], SET_STEPS)
+        fit = np.add.reduceat(n * np.log(np.maximum((p * got[sub]).sum(1), 1e-30)), first) - (k - 1) * cost[open_]
+        better = fit > score[open_]
+        score[open_[better]] = fit[better]
+        best[open_[better]] = got[better]
     chosen[docs], shares[docs] = best.argmax(1), best
     # A lone language's score is still its proportion in the full mixture.
     lone = best.max(1) >= 1.0
