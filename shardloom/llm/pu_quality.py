@@ -11,7 +11,7 @@ and the scores cover all rows. Labels, lang, source and doc_id are never inputs
 
 Defined cases: null and empty texts have zero measures and get a score like any text; a document with labels of
 both kinds isn't a trusted positive; null labels or ids teach nothing; without positives every score is the prior
-(0.5 without labels); without unlabelled documents all other training documents serve; repeated rows are each
+(0.5 without labels); without unlabelled documents all labelled training documents serve, positives too, as the risk takes U for a mixture; repeated rows are each
 scored.
 """
 
@@ -112,11 +112,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = lambda df: df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     plain = docs.where(F.col(id_col).isNotNull())
     positive = first(taught.where("low = 1"))
-    unlabelled = first(plain.select(id_col).join(known.select(id_col), id_col, "left_anti"))
-    marks = positive.withColumn("mark", F.lit(1)).unionByName(unlabelled.withColumn("mark", F.lit(0)))
-    got = _measured(plain.join(F.broadcast(marks), id_col), id_col, text_col).toArrow()  # at most 2 * sample ids
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_STATS + PAIRS)
-    mark = got["mark"].to_numpy()
+    # With labels on every document all of `taught` serve: U without positives would make the second part negative.
+    for others in (plain.select(id_col).join(known.select(id_col), id_col, "left_anti"), taught):
+        marks = positive.withColumn("mark", F.lit(1)).unionByName(first(others).withColumn("mark", F.lit(0)))
+        got = _measured(plain.join(F.broadcast(marks), id_col), id_col, text_col).toArrow()  # at most 2 * sample ids
+        x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_STATS + PAIRS)
+        mark = got["mark"].to_numpy()
+        if (mark == 0).any():
+            break
     if not (mark == 1).any() or not (mark == 0).any():
         return None, prior
     order = np.lexsort(x.T)  # sums don't depend on the order of arrival
