@@ -8,8 +8,8 @@ classes. The model's size is thus fixed, while counts of rare words stay in a ta
 whole; words left for the join are rare by construction, so no key is hot.
 
 Training is Baum-Welch: each task adds up expected transition and emission counts of its segments (SEGMENT tokens
-at most) and Spark sums them by class. BURN_IN rounds over at most BURN_DOCS documents start it off; ROUNDS rounds
-then run over all training documents. Scores are log10 probabilities by the scaled forward recursion over each
+at most) and Spark sums them by class. Every round runs over all training documents: BURN_IN rounds, then more until
+one gains less than GAIN nats a token. Scores are log10 probabilities by the scaled forward recursion over each
 whole text, with no cut.
 
 Null and empty texts are just the end token. Rows repeat freely: each counts in training and gets a row. Null ids
@@ -26,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import drop_path, id_bucket, importable, map_rows, pieces, stored
+from shardloom.llm.common import id_bucket, importable, map_rows, pieces, stored
 
 HEAD, TAIL = 32_768, 4_096
 STATES = 12
 SEGMENT = 128
-BURN_IN, BURN_DOCS, ROUNDS = 12, 1_500, 3
+BURN_IN, GAIN = 12, 0.002
 SMOOTH = 20.0
 FLUSH_WORDS = 400_000
 BATCH_TOKENS = 1 << 19
@@ -209,8 +209,8 @@ def _grouped(batch: list[bytes], most: int = BATCH_TOKENS):
         yield part
 
 
-def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> Model:
-    """One Baum-Welch round over rows (classes): counts are added up by task, then by Spark."""
+def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model, float]:
+    """One Baum-Welch round over rows (classes): counts are added up by task, then by Spark. Also the mean log likelihood of a token before it."""
     spark, states = rows.sparkSession, len(model.start)
     shared = spark.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(states)]
@@ -218,26 +218,28 @@ def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> Model:
     def run(batches):
         m = shared.value
         emit, moves, start = np.zeros(m.emit.shape, np.float64), np.zeros((states, states)), np.zeros(states)
+        fit = np.zeros(states)  # the first place holds the log likelihood
         for b in batches:
             for part in _grouped(b["classes"]):
-                first, move, code, share, _ = expected(part, m)
+                first, move, code, share, logs = expected(part, m)
+                fit[0] += logs.sum()
                 start += first
                 moves += move
                 for k in range(states):
                     emit[:, k] += np.bincount(code, weights=share[:, k], minlength=len(emit))
         at = np.flatnonzero(emit.any(1))
         yield {"class": at.tolist(), **{name: emit[at, k].tolist() for k, name in enumerate(names)}}
-        extra = np.concatenate([moves, start[None]])
-        yield {"class": [-1 - k for k in range(states + 1)], **{name: extra[:, k].tolist() for k, name in enumerate(names)}}
+        extra = np.concatenate([moves, start[None], fit[None]])
+        yield {"class": [-1 - k for k in range(states + 2)], **{name: extra[:, k].tolist() for k, name in enumerate(names)}}
 
     schema = "class int, " + ", ".join(f"{n} double" for n in names)
     got = map_rows(rows.select("classes"), run, schema).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     shared.destroy()
     if not got.num_rows:
-        return model
+        return model, 0.0
     at = got["class"].to_numpy()
     value = np.stack([got[n].to_numpy() for n in names], axis=1)
-    emit, extra = np.zeros(model.emit.shape), np.zeros((states + 1, states))
+    emit, extra = np.zeros(model.emit.shape), np.zeros((states + 2, states))
     emit[at[at >= 0]] = value[at >= 0]
     extra[-1 - at[at < 0]] = value[at < 0]
     occupied = emit.sum(0)
@@ -245,21 +247,19 @@ def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> Model:
     start = extra[states] + 0.1
     inner = occupied + 0.1
     emit = (emit + SMOOTH * shares[:, None]) / (occupied + SMOOTH)
-    return Model(start / start.sum(), inner / inner.sum(), step / step.sum(1, keepdims=True), emit)
+    return Model(start / start.sum(), inner / inner.sum(), step / step.sum(1, keepdims=True), emit), float(extra[states + 1, 0] / max(occupied.sum(), 1.0))
 
 
-def baum_welch(rows: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, burn_in: int = BURN_IN, burn_docs: int = BURN_DOCS) -> Model:
-    """rows: (row, classes) of the training documents."""
-    model = first_model(shares, states)
-    if burn_in:
-        ids = rows.select("row").orderBy(F.xxhash64("row"), "row").limit(burn_docs)
-        some, path = stored(rows.join(F.broadcast(ids), "row").select("classes"), "burn-in")
-        for _ in range(burn_in):
-            model = round_of(some, model, shares)
-        drop_path(rows.sparkSession, path)
-    for _ in range(rounds):
-        model = round_of(rows, model, shares)
-    return model
+def baum_welch(rows: DataFrame, shares: np.ndarray, states: int = STATES, burn_in: int | None = None, gain: float = GAIN) -> Model:
+    """rows: (classes) of the training documents, all of them in every round."""
+    model, before, done = first_model(shares, states), -np.inf, 0
+    least = BURN_IN if burn_in is None else burn_in
+    while True:
+        model, fit = round_of(rows, model, shares)
+        done += 1
+        if done >= least and fit - before < gain:
+            return model
+        before = fit
 
 
 def forward(codes: list[np.ndarray], m: Model) -> np.ndarray:
@@ -315,7 +315,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     vocab, _ = stored(vocabulary(df.where(~fold), text_col), "vocabulary")
     classes = Classes(vocab)
     rows, _ = encoded(df, classes, id_col, text_col, fold)
-    model = baum_welch(rows.where("not held_out").select("row", "classes"), classes.shares()) if classes.n else None
+    model = baum_welch(rows.where("not held_out").select("classes"), classes.shares()) if classes.n else None
     out = rows.drop("classes", "tail").join(tail_sums(rows, vocab, classes), "row", "left")
     if model:
         out = out.join(scores(rows, model), "row")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shardloom.llm import html_text, language_id, pii, pu_quality, simhash
+from shardloom.llm import hmm_lm, html_text, language_id, pii, pu_quality, simhash
 
 
 def prose(seed, n=40):
@@ -127,3 +127,22 @@ def test_field_is_fitted_to_the_first_distinct_texts(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [pii.train(df.repartition(n), most=10) for n in (1, 7)] == [10, 10] and seen[0] == seen[1]
     assert pii.train(df) == 31 and pii.train(df.limit(0)) == 0
+
+
+# -- hidden Markov model --
+
+
+def test_every_round_is_over_all_documents(spark, monkeypatch):
+    sizes, fits, real = [], [], hmm_lm.round_of
+
+    def watched(rows, model, shares):
+        sizes.append(rows.count())
+        out = real(rows, model, shares)
+        fits.append(out[1])
+        return out
+
+    monkeypatch.setattr(hmm_lm, "round_of", watched)
+    codes = [(np.array([i % 2, 2 + i % 2] * 3, np.uint16).tobytes(),) for i in range(1_600)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(codes)], "row bigint, classes binary")
+    hmm_lm.baum_welch(rows, np.full(4, 0.25), 2, burn_in=2)
+    assert set(sizes) == {1_600} and fits[-1] - fits[-2] < hmm_lm.GAIN and fits[-1] > fits[0]
