@@ -1,223 +1,118 @@
 """Token-id output: texts to ids with the tokenizers library, ids to files of range-coded blocks, and back.
 
 write() makes a folder with one Parquet table. Its rows are segments, each of whole documents in ascending order of
-id (ties by the ids' hash): the documents' ids and sizes, and the segment's blocks with their sizes, checksums and
-payloads (range_coder). Segments are numbered by part and place, parts are ranges of the document ids, so (part,
-place) is the order of all documents. Spark commits the files, so a lost executor only repeats its tasks, and
-ranges are cut on the pair (id, hash), so no id, however often it repeats, must fit one task. A segment grows to
-SEGMENT ids and then ends with its document; texts are never cut.
-
-read() decodes the segments and holds every block against its checksum. It gives each document its start, the
-number of ids of all documents before it.
-
-Null and empty texts have only the end id. Null ids come first. Repeated rows are documents of their own. Texts
-are split at ASCII white space, with A-Z lower-cased, before the tokenizer sees them, and equal words are encoded
-once: the normalizer lower-cases and turns white space into one space, and the pre-tokenizer drops it, so the ids
-are those of the whole text. Words that the normalizer would not change go to the same tokenizer without it.
+id (ties by the texts' hash, then by the texts): the documents' ids and sizes, and the segment's ids in blocks with
+their sizes and checksums (range_coder). Segments are numbered by part and place, parts are ranges of the document
+ids, so (part, place) is the order of all documents; each segment holds the number of ids of its part before it. Spark
+commits the files, so a lost executor only repeats its tasks, and ranges are cut on the pair (id, hash), so no id,
+however often it repeats, must fit one task. A segment grows to SEGMENT ids and then ends with its document; texts are
+never cut.
+
+read() decodes the segments on the JVM and holds every block against its checksum. It gives each document its start,
+the number of ids of all documents before it; that takes the totals of the parts, one row for each file.
+
+Null and empty texts have only the end id. Null ids come first. Repeated rows are documents of their own. Other columns
+are not looked at, whatever their names. A table without rows makes files without segments.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import unicodedata
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shardloom.llm import range_coder
-from shardloom.llm.common import drop_path, importable, map_rows, pieces, scratch
+from shardloom.llm.common import importable, scratch
+from shardloom.llm.words import Words
 
 END_ID = 1
-SEGMENT = range_coder.BLOCK * range_coder.LANES
-KNOWN_WORDS = 800_000
-#: ASCII punctuation but the apostrophe, which the pre-tokenizer may join to letters after it.
-_PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
-_WORDS: dict[str, "Words"] = {}
-
-
-def _normal(text: str) -> bool:
-    """The tokenizer's normalizer would leave text as it is: lower case, composed, below U+0250, nothing unprintable."""
-    return text.isascii() and text.isprintable() or (max(text) < "\u0250" and text.isprintable() and text == text.lower() and unicodedata.is_normalized("NFC", text))
-
-
-class Words:
-    """Ids of words, each encoded once for a worker process (at most KNOWN_WORDS are kept)."""
-
-    def __init__(self, path: str, end_id: int = END_ID):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        with open(path, encoding="utf-8") as f:
-            self.plain = Tokenizer.from_str(json.dumps(json.load(f) | {"normalizer": None}))
-        for t in (self.tokenizer, self.plain):
-            t.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.bits = max(16, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {b"": 0}  # no word is empty: it ends a document
-        self.flat = np.array([self.end_id], np.uint32)
-        self.begin, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words. One that ends in punctuation has the ids of its parts, as the pre-tokenizer parts them there."""
-        whole, joint = {}, []
-        for w in words:
-            core = w.rstrip(_PUNCTUATION)
-            if core != w and core[-1:].isalnum() and b"'" not in w:
-                joint.append((w, core, w[len(core) :]))
-                for part in joint[-1][1:]:
-                    if part not in self.index:
-                        whole[part] = None
-            else:
-                whole[w] = None
-        text = {w: w.decode("utf-8") for w in whole}
-        for tokenizer, some in ((self.plain, [w for w in whole if _normal(text[w])]), (self.tokenizer, [w for w in whole if not _normal(text[w])])):
-            new = [e.ids for e in tokenizer.encode_batch_fast([text[w] for w in some], add_special_tokens=False)]
-            self._add(some, np.array([len(x) for x in new], np.int64), np.array([i for x in new for i in x], np.uint32))
-        if joint:
-            at = np.array([[self.index[a], self.index[b]] for _, a, b in joint], np.int64)
-            self._add([w for w, _, _ in joint], self.size[at].sum(1), self._ids(at.ravel())[0])
-
-    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.size)
-        self.index.update(zip(words, range(n, n + len(words))))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
-
-    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words by their index, joined, and where each word ends."""
-        size = self.size[at]
-        total = np.cumsum(size)
-        return self.flat[np.repeat(self.begin[at] - (total - size), size) + np.arange(int(total[-1]) if len(at) else 0)], total
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, with the end id."""
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += t.encode("utf-8").lower().split() if t else ()
-            words.append(b"")
-            ends.append(len(words))
-        if len(self.index) > KNOWN_WORDS:
-            self.clear()
-        missing = [w for w in set(words) if w not in self.index]
-        if missing:
-            self.learn(missing)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        ids, total = self._ids(at)
-        return np.split(ids, total[np.array(ends[:-1], np.int64) - 1]) if len(ends) > 1 else [ids]
+SEGMENT = range_coder.BLOCK * 16
+_ROWS = 512
+_WORDS: dict[str, Words] = {}
 
 
 def words(path: str) -> Words:
     if path not in _WORDS:
-        _WORDS[path] = Words(path)
+        _WORDS[path] = Words(path, END_ID)
     return _WORDS[path]
 
 
-def encoded(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bits, ids binary of 16-bit, or for larger vocabularies 32-bit, little-endian numbers)."""
-    importable(df.sparkSession)
+def write(df: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the ids of df's texts to a new folder."""
+    spark = df.sparkSession
+    importable(spark)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(F.asc_nulls_first("id"), F.asc("tie")).sortWithinPartitions(F.asc_nulls_first("id"), "tie", "text")
+    kind = df.schema[id_col].dataType.simpleString()
+    segment = f"place int, before bigint, bits int, docs array<{kind}>, sizes array<bigint>, n_ids bigint, ids binary"
+    schema = spark.createDataFrame([], segment).schema
+    target = to_arrow_schema(schema)
 
     def run(batches):
         w = words(tokenizer)
-        kind = "<u2" if w.bits == 16 else "<u4"
+        place = before = held = 0
+        docs, sizes, ids = [], [], []
+
+        def done() -> pa.RecordBatch:
+            row = [place, before, w.bits, pa.concat_arrays(docs).to_pylist(), np.concatenate(sizes).tolist(), held, np.concatenate(ids).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, target)], schema=target)
+
         for b in batches:
-            for x in pieces(b, text_col):
-                yield {"id": x[id_col], "bits": [w.bits] * len(x[id_col]), "ids": [i.astype(kind).tobytes() for i in w.encode(x[text_col])]}
+            for k, n, some, many in _runs(b, w):
+                # Documents up to the one that fills the segment, again and again.
+                ends, at, used = np.cumsum(many), 0, 0
+                while at < n:
+                    last = min(int(np.searchsorted(ends, used + SEGMENT - held)), n - 1)
+                    docs.append(b.column(0).slice(k + at, last + 1 - at))
+                    sizes.append(many[at : last + 1])
+                    ids.append(some[used : ends[last]])
+                    held, used, at = held + int(ends[last]) - used, int(ends[last]), last + 1
+                    if held >= SEGMENT:
+                        yield done()
+                        place, before, held = place + 1, before + held, 0
+                        docs, sizes, ids = [], [], []
+        if docs:
+            yield done()
 
-    return map_rows(df.select(id_col, text_col), run, f"id {df.schema[id_col].dataType.simpleString()}, bits int, ids binary")
+    rows = ordered.select("id", "text").mapInArrow(run, schema)
+    coded = rows.select("place", "before", "bits", "docs", "sizes", "n_ids", range_coder.blocks(spark, F.col("ids"), F.col("bits")).alias("blocks"))
+    coded.withColumn("part", F.spark_partition_id()).write.option("parquet.block.size", 8 << 20).option("compression", "none").parquet(path)
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Writes (id, bits, ids) to a new folder."""
-    spark = df.sparkSession
-    importable(spark)
-    kind = df.schema["id"].dataType.simpleString()
-    held = scratch(spark, "ids")
-    df.withColumn("tie", F.xxhash64("ids")).write.option("compression", "zstd").parquet(held)
-    ordered = spark.read.parquet(held).repartitionByRange(F.asc_nulls_first("id"), "tie").sortWithinPartitions(F.asc_nulls_first("id"), "tie")
-
-    def segment(place: int, docs: list, sizes: list[int], ids: list[np.ndarray], bits: int) -> dict[str, list]:
-        done = range_coder.encode(np.concatenate(ids), bits)
-        return {
-            "place": [place], "bits": [bits], "docs": [docs], "sizes": [sizes], "n_ids": [sum(sizes)],
-            "block_ids": [[n for n, _, _ in done]], "block_crc32": [[c for _, c, _ in done]], "block_bytes": [[len(p) for _, _, p in done]], "payload": [b"".join(p for _, _, p in done)],
-        }
+def _runs(batch: pa.RecordBatch, w: Words):
+    """(first row, rows, ids, their number by row) for runs of rows, so that few ids are held at once."""
+    for k in range(0, batch.num_rows, _ROWS):
+        some = batch.column(1).slice(k, _ROWS)
+        yield k, len(some), *w.encode_arrow(some)
 
-    def run(batches):
-        place = total = 0
-        docs, sizes, ids, bits = [], [], [], 16
-        for b in batches:
-            for doc, width, x in zip(b["id"], b["bits"], b["ids"]):
-                one = np.frombuffer(x, "<u2" if width == 16 else "<u4").astype(np.int64)
-                docs.append(doc)
-                sizes.append(len(one))
-                ids.append(one)
-                bits = max(bits, width)
-                total += len(one)
-                if total >= SEGMENT:
-                    yield segment(place, docs, sizes, ids, bits)
-                    place, total = place + 1, 0
-                    docs, sizes, ids = [], [], []
-        if docs:
-            yield segment(place, docs, sizes, ids, bits)
 
-    schema = f"place int, bits int, docs array<{kind}>, sizes array<bigint>, n_ids bigint, block_ids array<int>, block_crc32 array<bigint>, block_bytes array<int>, payload binary"
-    rows = map_rows(ordered.select("id", "bits", "ids"), run, schema)
-    rows.withColumn("part", F.spark_partition_id()).write.option("parquet.block.size", 8 << 20).option("compression", "none").parquet(path)
-    drop_path(spark, held)
+def _documents(spark, path: str, give_ids: bool) -> DataFrame:
+    rows = spark.read.parquet(path)
+    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    # One row for each file of segments: few, so one task and a broadcast do.
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
+    found = range_coder.documents(spark, F.col("blocks"), F.col("bits"), F.col("sizes"), give_ids)
+    each = rows.select("part", "before", F.arrays_zip("docs", found.alias("facts")).alias("all"))
+    each = each.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("first"), F.explode("all").alias("one"))
+    start = F.col("first") + F.col("one.facts.begin")
+    return each.select(F.col("one.docs").alias("id"), start.alias("start"), *(F.col(f"one.facts.{c}").alias(c) for c in ("n_tokens", "ids_crc32", "ids")))
 
 
 def read(spark, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files; ids are decoded and checked."""
-    return _documents(spark, path, lambda ids: {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}, "ids_crc32 bigint")
+    return _documents(spark, path, False).drop("ids")
 
 
 def read_ids(spark, path: str) -> DataFrame:
     """(id, start, n_tokens, ids array<int>) of every document in the files."""
-    return _documents(spark, path, lambda ids: {"ids": ids.tolist()}, "ids array<int>")
-
-
-def _documents(spark, path: str, give, schema: str) -> DataFrame:
-    importable(spark)
-    rows = spark.read.parquet(path)
-    # One small row for each segment: where the segments begin. Their number is the ids' over SEGMENT, plus one a part.
-    sizes = rows.select("part", "place", "n_ids").orderBy("part", "place").toArrow()
-    begin = np.cumsum(sizes["n_ids"].to_numpy()) - sizes["n_ids"].to_numpy() if sizes.num_rows else []
-    starts = pa.table({"part": sizes["part"], "place": sizes["place"], "begin": pa.array(begin, pa.int64())})
-    begins = spark.sparkContext.broadcast({(p, k): int(s) for p, k, s in zip(*(starts[c].to_pylist() for c in ("part", "place", "begin")))})
-    kind = dict(rows.dtypes)["docs"][len("array<") : -1]
-
-    def run(batches):
-        for b in batches:
-            for i in range(len(b["part"])):
-                at, blocks = 0, []
-                for n, crc, size in zip(b["block_ids"][i], b["block_crc32"][i], b["block_bytes"][i]):
-                    blocks.append((n, crc, b["payload"][i][at : at + size]))
-                    at += size
-                ids = range_coder.decode(blocks, b["bits"][i])
-                n = np.array(b["sizes"][i], np.int64)
-                ends = np.cumsum(n)
-                got = [give(ids[e - k : e]) for k, e in zip(n.tolist(), ends.tolist())]
-                yield {
-                    "id": b["docs"][i],
-                    "start": (ends - n + begins.value[b["part"][i], b["place"][i]]).tolist(),
-                    "n_tokens": n.tolist(),
-                    **{k: [g[k] for g in got] for k in (got[0] if got else {})},
-                }
-
-    # A segment is large: few of them make an Arrow batch.
-    return map_rows(rows, run, f"id {kind}, start bigint, n_tokens bigint, {schema}")
+    return _documents(spark, path, True).drop("ids_crc32")
 
 
 def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) as read back from files of df's texts."""
     path = scratch(df.sparkSession, "token-files")
-    write(encoded(df, tokenizer, id_col, text_col), path)
+    write(df, tokenizer, path, id_col, text_col)
     return read(df.sparkSession, path).withColumnRenamed("id", id_col)

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shardloom.llm import byte_bpe, decontaminate, hmm_lm, html_text, language_id, pii, pu_quality, quality_rules, range_coder, simhash, token_output
 
@@ -37,26 +38,62 @@ def got(df, key="doc_id"):
 # -- 1 --
 
 
-@settings(deadline=None, max_examples=30)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 70))
-def test_range_coder_round_trip(ids, block):
-    ids = np.array(ids, np.int64)
-    done = range_coder.encode(ids, block=block)
-    assert [n for n, _, _ in done] == [min(block, len(ids) - k) for k in range(0, len(ids), block)]
-    assert np.array_equal(range_coder.decode(done, block=block), ids)
+def blocks_of(spark, ids, bits=16):
+    raw = np.array(ids, "<u2" if bits == 16 else "<u4").tobytes()
+    df = spark.createDataFrame([(raw, bits)], "ids binary, bits int")
+    return bytes(df.select(range_coder.blocks(spark, F.col("ids"), F.col("bits"))).head()[0])
 
 
-def test_range_coder_blocks_are_independent_and_checked():
-    ids = np.random.default_rng(1).zipf(1.3, 20_000) % 50_000
-    done = range_coder.encode(ids)
-    for k, b in enumerate(done):
-        assert np.array_equal(range_coder.decode([b]), ids[k * range_coder.BLOCK : (k + 1) * range_coder.BLOCK])
-    assert sum(len(p) for _, _, p in done) < 2 * len(ids)
-    n, crc, p = done[1]
-    with pytest.raises(ValueError):
-        range_coder.decode([(n, crc, bytes([p[0] ^ 255]) + p[1:])])
-    wide = np.random.default_rng(2).integers(0, 1 << 18, 9_000)
-    assert np.array_equal(range_coder.decode(range_coder.encode(wide, 18), 18), wide)
+def ids_of(spark, coded, sizes, bits=16):
+    df = spark.createDataFrame([(bytearray(coded), bits, sizes)], "blocks binary, bits int, sizes array<bigint>")
+    return df.select(range_coder.documents(spark, F.col("blocks"), F.col("bits"), F.col("sizes"), True)).head()[0]
+
+
+def split_blocks(coded):
+    out, at = [], 0
+    while at < len(coded):
+        n, crc, size = np.frombuffer(coded[at : at + 12], "<u4").tolist()
+        out.append((n, crc, coded[at : at + 12 + size]))
+        at += 12 + size
+    return out
+
+
+def test_range_coder_round_trip(spark):
+    rng = np.random.default_rng(3)
+    runs = np.repeat(rng.integers(0, 9, 4_000), rng.integers(1, 60, 4_000))
+    cases = [[], [0], [65535], [7] * 70_000, list(range(65536)) * 2, rng.integers(0, 65536, 140_000).tolist(), runs.tolist(), (rng.zipf(1.3, 200_000) % 50_000).tolist()]
+    for ids in cases:
+        coded = blocks_of(spark, ids)
+        assert [n for n, _, _ in split_blocks(coded)] == [min(range_coder.BLOCK, len(ids) - k) for k in range(0, len(ids), range_coder.BLOCK)]
+        (found,) = ids_of(spark, coded, [len(ids)])
+        assert found["ids"] == ids and found["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    wide = rng.integers(0, 1 << 18, 9_000).tolist()
+    assert ids_of(spark, blocks_of(spark, wide, 18), [9_000], 18)[0]["ids"] == wide
+
+
+def test_range_coder_blocks_are_independent_and_checked(spark):
+    ids = (np.random.default_rng(1).zipf(1.3, 200_000) % 50_000).tolist()
+    coded = blocks_of(spark, ids)
+    done = split_blocks(coded)
+    for k, (n, crc, one) in enumerate(done):
+        own = ids[k * range_coder.BLOCK : (k + 1) * range_coder.BLOCK]
+        assert crc == zlib.crc32(np.array(own, "<u4").tobytes())
+        assert ids_of(spark, one, [n])[0]["ids"] == own
+    n, _, one = done[1]
+    for place in (4, 20, len(one) // 2):
+        with pytest.raises(Exception, match="block"):
+            ids_of(spark, one[:place] + bytes([one[place] ^ 255]) + one[place + 1 :], [n])
+    with pytest.raises(Exception, match="less ids"):
+        ids_of(spark, one, [n + 1])
+
+
+def test_ids_of_texts_take_less_than_order_0(spark):
+    """Against the entropy of the ids' counts over all texts, which a static order-0 code can't beat."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    texts = [r["text"] for r in spark.read.parquet(path).orderBy("doc_id").collect()]
+    ids = np.concatenate(token_output.words(WORD_BPE).encode(texts))
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(blocks_of(spark, ids)) * 8 < -(share * np.log2(share)).sum() * len(ids)
 
 
 def test_words_are_those_of_the_tokenizer():
@@ -64,7 +101,7 @@ def test_words_are_those_of_the_tokenizer():
 
     t = Tokenizer.from_file(WORD_BPE)
     t.encode_special_tokens = True
-    parts = ["a", "B", "é", "É", "ß", "İ", "ǅ", "Σ", "'s", "'", "’", "...", "!", "-", "1", "٣", "漢", " ", " ", "\n", "\x1c", "<|endoftext|>", "$", "ll", "😀", "́", "ﬁ", "K"]
+    parts = ["a", "B", "é", "É", "ß", "İ", "ǅ", "Σ", "'s", "'", "’", "...", "!", "-", "1", "٣", "漢", " ", " ", "\n", "\x1c", "<|endoftext|>", "$", "ll", "😀", "\u0301", "h\u0331", "H\u0331", "\u1e97", "ﬁ", "K", "×", "÷", "Þ", "ª", "²", "\x85", "\x00", "ÿ", "Ÿ", "abcdefghijklmnopqrs", "a" * 40]
     rng = random.Random(5)
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3_000)]
     for text, ids in zip(texts, token_output.words(WORD_BPE).encode(texts)):
@@ -75,9 +112,10 @@ def test_token_output(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    found = got(token_output.round_trip(frame(spark, ODD), WORD_BPE))
+    texts = [*ODD, "a " * 1_200_000, "after a text that fills a segment"]
+    found = got(token_output.round_trip(frame(spark, texts), WORD_BPE))
     start = 0
-    for i, text in enumerate(ODD):
+    for i, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         assert (found[i]["start"], found[i]["n_tokens"]) == (start, len(ids))
         assert found[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -85,6 +123,15 @@ def test_token_output(spark):
     assert token_output.round_trip(frame(spark, []), WORD_BPE).count() == 0
 
 
+def test_token_files_give_the_ids_back(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_BPE)
+    token_output.write(frame(spark, ODD), WORD_BPE, str(tmp_path / "ids"))
+    found = {r["id"]: r["ids"] for r in token_output.read_ids(spark, str(tmp_path / "ids")).collect()}
+    assert found == {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(ODD)}
+
+
 # -- 2 --
 
 
