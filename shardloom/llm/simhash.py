@@ -12,14 +12,19 @@ segments leave, for some ordered pair of segments, one of two cases (pigeonhole)
 * 0 and at most 2 errors: keys are the first segment as it is, and every codeword index within 4 of the second.
   Two vectors at distance 2 share such a codeword: the nearest to a vector midway between them.
 * 1 and 1 errors: keys are all pairs of codeword indices within 4 of the two segments; the nearest codeword of x
-  is within 4 of anything at distance 1 from x.
+  is within 4 of anything at distance 1 from x. These keys have 24 bits. Beyond LONG distinct fingerprints, where so
+  many would meet under each, the third segment, which then has 2 errors at most, adds its codeword indices within 4:
+  five times the keys, of 36 bits, for the same links.
 
 Equal fingerprints collapse before that, so copies are never paired. Fingerprints that meet under a key form a
 bucket; buckets are read as a sorted stream. Buckets up to CHUNK are searched whole; larger ones are cut into chunks by hash and every pair of chunks
 is searched as a bucket of its own, so no task holds more than two chunks. A search keeps a spanning forest of the
 bucket's links, never its pairs: from each reached fingerprint all not yet reached ones within RADIUS are taken at
-once. Components come from large-star and small-star steps over the forest's edges, checkpointed in the shared
-folder.
+once. Components come from large-star and small-star steps over the forest's edges, stored in the shared folder.
+Minima by key are stored before they are joined to the rows they come from, so that both sides are plain shuffles and
+Spark's skew join can split the key of a large component, of a hub or of the empty text.
+
+Empty tables give empty results; very long texts are read whole, their hashes added up in bounded pieces.
 
 Rows with a null id have a fingerprint, but no id to give; their component is that of the others with their
 fingerprint. Repeated rows give repeated results. Other columns are left alone.
@@ -40,6 +45,9 @@ from shardloom.llm.common import drop_path, importable, map_rows, pieces, scratc
 SHINGLE = 4
 RADIUS = 4
 CHUNK = 4_096
+LONG = 1 << 27
+#: Fingerprints whose keys one task makes.
+KEYED = 1 << 15
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -121,8 +129,8 @@ def within4(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, _index_of()[vectors[row] ^ errors[at]].astype(np.int64)
 
 
-def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which print, key), without repeats of a pair."""
+def keys(prints: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(which print, key), without repeats of a pair. long: pair keys with the third segment."""
     seg = [((prints >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
     wide = [within4(s) for s in seg]
     rows, found = [], []
@@ -132,19 +140,24 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 row, cw = wide[j]
                 rows.append(row)
                 found.append(((i * 3 + j) << 40) | (seg[i][row] << 12) | cw)
-    for i, j in ((0, 1), (0, 2), (1, 2)):  # 1 error in each; the pair of nearest codewords is among those looked up
-        tag = (16 + i * 3 + j) << 40
-        (ra, ca), (rb, cb) = wide[i], wide[j]
-        nb = np.bincount(rb, minlength=len(prints))
-        begin = np.cumsum(nb) - nb
-        k = nb[ra]
-        a = np.repeat(np.arange(len(ra)), k)
-        b = np.repeat(begin[ra] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        rows.append(ra[a])
-        found.append(tag | (ca[a] << 12) | cb[b])
+    for i, j, k in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):  # 1 error in each; the pair of nearest codewords is among those looked up
+        row, pair = _paired(*wide[i], *wide[j], len(prints))
+        if long:
+            row, pair = _paired(row, pair, *wide[k], len(prints))
+        rows.append(row)
+        found.append((16 + i * 3 + j) << 40 | pair)
     return np.concatenate(rows), np.concatenate(found)
 
 
+def _paired(ra: np.ndarray, ca: np.ndarray, rb: np.ndarray, cb: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, index of a << 12 | index of b) of all pairs of codewords of the same row; rows ascend."""
+    nb = np.bincount(rb, minlength=n)
+    begin, k = np.cumsum(nb) - nb, nb[ra]
+    a = np.repeat(np.arange(len(ra)), k)
+    b = np.repeat(begin[ra] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+    return ra[a], ca[a] << 12 | cb[b]
+
+
 def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct prints."""
     left, edges = prints.copy(), []
@@ -167,21 +180,25 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, long: int = LONG) -> tuple[DataFrame, str]:
     """(a, b) among distinct fingerprints in column `print` (signed long): edges of spanning forests that together join all that is linked. Also the path of a scratch table to drop once they are read."""
     if radius > RADIUS:
         raise ValueError(f"the keys find links of at most {RADIUS} bits")
     importable(prints.sparkSession)
+    total = prints.count()
+    is_long = total > long
 
     def emit(batches):
         for b in batches:
             x = np.array(b["print"], np.int64)
-            for k in range(0, len(x), 2_000):
-                part = x[k : k + 2_000]
-                row, key = keys(part.view(np.uint64))
+            for k in range(0, len(x), 500):
+                part = x[k : k + 500]
+                row, key = keys(part.view(np.uint64), is_long)
                 yield {"key": pa.array(key), "print": pa.array(part[row])}
 
-    keyed = map_rows(prints.select("print"), emit, "key bigint, print bigint")
+    # A print is 8 bytes and its keys thousands, so tasks are cut by prints, not by the bytes of the input.
+    dealt = prints.select("print").repartition(max(1, -(-total // (KEYED >> 2 if is_long else KEYED))), "print")
+    keyed = map_rows(dealt, emit, "key bigint, print bigint")
     heavy, path = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "heavy")
     place = F.lit(0).cast("int")
     buckets = keyed.select("key", place.alias("i"), place.alias("j"), "print")
@@ -234,15 +251,16 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low, low_path = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        step = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        large, large_path = stored(large.where("a <> b").distinct(), "large")
+        least, least_path = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+        step = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after, new_path = stored(step, "edges")
         state = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
-        drop_path(spark, path)
+        for old in (path, low_path, large_path, least_path):
+            drop_path(spark, old)
         now, path = after, new_path
         if tuple(state) == before:
             return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
@@ -271,9 +289,10 @@ def _classified(df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS,
     roots, roots_path = stored(components(edges), "roots")
     drop_path(df.sparkSession, keys_path)
     classes = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print, _ = stored(classes.join(least, "root").select("print", "root", "component_id"), "classes")
-    for path in (distinct_path, roots_path):
+    classes, classes_path = stored(classes, "classes")
+    least, least_path = stored(classes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    by_print, _ = stored(classes.join(least, "root").select("print", "root", "component_id"), "by-print")
+    for path in (distinct_path, roots_path, classes_path, least_path):
         drop_path(df.sparkSession, path)
     return docs.join(by_print, "print")
 
