@@ -7,8 +7,9 @@ class is (c + 1) / (class total + class types + 1), unseen words sharing the ext
 classes. The model's size is thus fixed, while counts of rare words stay in a table that is joined, never sent out
 whole; words left for the join are rare by construction, so no key is hot.
 
-Training is Baum-Welch: each task adds up expected transition and emission counts of its segments (SEGMENT tokens
-at most) and Spark sums them by class. Every round runs over all training documents: BURN_IN rounds, then more until
+Training is Baum-Welch: each task adds up expected transition and emission counts and Spark sums them by class. A text
+longer than SEGMENT tokens is worked on in pieces side by side; each piece reads WARM tokens on both sides too, which
+settle its states at the ends, and every token and every transition of the text is counted in just one piece. Every round runs over all training documents: BURN_IN rounds, then more until
 one gains less than GAIN nats a token. Scores are log10 probabilities by the scaled forward recursion over each
 whole text, with no cut.
 
@@ -30,7 +31,7 @@ from shardloom.llm.common import id_bucket, importable, map_rows, pieces, stored
 
 HEAD, TAIL = 32_768, 4_096
 STATES = 12
-SEGMENT = 128
+SEGMENT, WARM = 256, 24
 BURN_IN, GAIN = 12, 0.002
 SMOOTH = 20.0
 FLUSH_WORDS = 400_000
@@ -134,7 +135,7 @@ def encoded(df: DataFrame, classes: Classes, id_col: str, text_col: str, fold) -
 
 
 class Model:
-    """start and inner: state shares at a text's begin and at a later segment's; step: transitions; emit: (classes, states)."""
+    """start and inner: state shares at a text's begin and anywhere in it; step: transitions; emit: (classes, states)."""
 
     def __init__(self, start, inner, step, emit):
         self.start, self.inner, self.step, self.emit = (np.ascontiguousarray(x, np.float32) for x in (start, inner, step, emit))
@@ -150,23 +151,23 @@ def first_model(shares: np.ndarray, states: int = STATES, seed: int = 7) -> Mode
     return Model(even, even, step, emit / emit.sum(0))
 
 
-def segments(codes: list[np.ndarray], length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, and each segment's begin, length and whether it begins a text; longest first."""
+def segments(codes: list[np.ndarray], length: int = SEGMENT, warm: int = WARM) -> tuple[np.ndarray, ...]:
+    """All tokens, and each piece's begin and length with what it reads beside, where in it its own tokens begin and end, whether it begins a text; longest first."""
     flat = np.concatenate(codes)
     size = np.array([len(c) for c in codes], np.int64)
     begin = np.cumsum(size) - size
     n = -(-size // length)
     which = np.repeat(np.arange(len(codes)), n)
     k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    a = begin[which] + k * length
-    long = np.minimum(length, size[which] - k * length)
-    order = np.argsort(-long, kind="stable")
-    return flat, a[order], long[order], (k == 0)[order]
+    first, last = k * length, np.minimum((k + 1) * length, size[which])
+    low, high = np.maximum(first - warm, 0), np.minimum(last + warm, size[which])
+    order = np.argsort(low - high, kind="stable")
+    return flat, (begin[which] + low)[order], (high - low)[order], (first - low)[order], (last - low)[order], (low == 0)[order]
 
 
-def expected(codes: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward: (begin counts, transition counts, tokens, their state shares, sum of log likelihoods)."""
-    flat, a, long, begins = segments(codes)
+def expected(codes: list[np.ndarray], m: Model, length: int = SEGMENT, warm: int = WARM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward: (begin counts, transition counts, tokens, their state shares, log likelihoods by step)."""
+    flat, a, long, own, end, begins = segments(codes, length, warm)
     top = int(long[0])
     active = np.searchsorted(-long, -np.arange(1, top + 1), side="right")
     seen, alpha, scale = [], [], []
@@ -181,19 +182,26 @@ def expected(codes: list[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray,
         alpha.append(now)
         scale.append(s)
     moves = np.zeros_like(m.step, np.float64)
-    gamma = [None] * top
+    gamma, tokens_, fit = [], [], np.zeros(top)
+    start = np.zeros(len(m.start))
     beta = np.ones_like(alpha[-1])
     for t in range(top - 1, -1, -1):
+        n = active[t]
+        mine = (own[:n] <= t) & (t < end[:n])
         g = alpha[t] * beta
-        gamma[t] = g / np.maximum(g.sum(1, keepdims=True), 1e-30)
+        g /= np.maximum(g.sum(1, keepdims=True), 1e-30)
+        some = g[mine]
+        gamma.append(some)
+        tokens_.append(seen[t][mine])
+        fit[t] = np.log(scale[t][mine]).sum()
         if t:
-            n = active[t]
             back = m.emit[seen[t]] * beta / scale[t][:, None]
-            moves += alpha[t - 1][:n].T @ back
+            moves += alpha[t - 1][:n].T @ (back * mine[:, None])
             beta = np.ones_like(alpha[t - 1])
             beta[:n] = back @ m.step.T
-    start = gamma[0][begins].sum(0, dtype=np.float64)
-    return start, moves * m.step, np.concatenate(seen), np.concatenate(gamma), np.array([float(np.log(s).sum()) for s in scale])
+        else:
+            start = g[begins[:n] & (own[:n] == 0)].sum(0, dtype=np.float64)
+    return start, moves * m.step, np.concatenate(tokens_), np.concatenate(gamma), fit
 
 
 def _grouped(batch: list[bytes], most: int = BATCH_TOKENS):

@@ -170,6 +170,41 @@ def test_forward_is_exact():
     assert math.isclose(moves.sum(), 4, rel_tol=1e-4) and math.isclose(start.sum(), 1, rel_tol=1e-4) and np.allclose(share.sum(1), 1, atol=1e-4)
 
 
+def test_baum_welch_round_against_enumeration():
+    """Expected counts of a short text over all state paths."""
+    import itertools
+
+    m = hmm_lm.first_model(np.array([0.5, 0.3, 0.2]), 2)
+    x = [0, 2, 1, 1, 0]
+    start, moves, share, total = np.zeros(2), np.zeros((2, 2)), np.zeros((len(x), 2)), 0.0
+    for path in itertools.product(range(2), repeat=len(x)):
+        p = float(m.start[path[0]] * m.emit[x[0], path[0]])
+        for a, b, c in zip(path, path[1:], x[1:]):
+            p *= float(m.step[a, b] * m.emit[c, b])
+        total += p
+        start[path[0]] += p
+        for a, b in zip(path, path[1:]):
+            moves[a, b] += p
+        for t, k in enumerate(path):
+            share[t, k] += p
+    got_start, got_moves, seen, got_share, fit = hmm_lm.expected([np.array(x)], m)
+    assert np.allclose(got_start, start / total, atol=1e-4) and np.allclose(got_moves, moves / total, atol=1e-4)
+    assert seen[::-1].tolist() == x and np.allclose(got_share[::-1], share / total, atol=1e-4)
+    assert math.isclose(fit.sum(), math.log(total), rel_tol=1e-4)
+
+
+def test_pieces_of_long_texts_count_what_whole_texts_do():
+    rng = np.random.default_rng(5)
+    share = rng.random(40)
+    m = hmm_lm.first_model(share / share.sum(), 4)
+    codes = [rng.integers(0, 40, n) for n in (1, 700, 64, 65, 3)]
+    pieces = hmm_lm.expected(codes, m, 64, 24)
+    whole = hmm_lm.expected(codes, m, 10_000, 0)
+    assert sorted(pieces[2].tolist()) == sorted(whole[2].tolist()) and math.isclose(pieces[1].sum(), sum(len(c) - 1 for c in codes), rel_tol=1e-4)
+    assert np.allclose(pieces[0], whole[0], atol=1e-2) and np.allclose(pieces[1], whole[1], rtol=0.02, atol=0.3)
+    assert math.isclose(pieces[4].sum(), whole[4].sum(), rel_tol=1e-3)
+
+
 def test_hmm_without_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     df = spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")
@@ -422,8 +457,33 @@ def test_simhash_keys_meet_within_four_bits():
             y = x
             for b in rng.choice(64, errors, replace=False):
                 y ^= 1 << int(b)
-            row, key = simhash.keys(np.array([x, y], np.uint64))
-            assert set(key[row == 0]) & set(key[row == 1]), (x, y)
+            for long in (False, True):
+                row, key = simhash.keys(np.array([x, y], np.uint64), long)
+                assert set(key[row == 0]) & set(key[row == 1]), (x, y)
+
+
+def test_simhash_long_keys_find_the_same_links(spark):
+    rng = np.random.default_rng(11)
+    prints = rng.integers(-(1 << 63), 1 << 63, 60)
+    for _ in range(3):
+        prints = np.concatenate([prints, prints[:40] ^ (1 << rng.integers(0, 63, 40)) ^ (1 << rng.integers(0, 63, 40))])
+    df = spark.createDataFrame([(int(x),) for x in set(prints.tolist())], "print bigint")
+    roots = []
+    for long in (1 << 27, 0):
+        edges, _ = simhash.links(df, long=long)
+        roots.append({r["node"]: r["root"] for r in simhash.components(edges).collect()})
+    assert roots[0] == roots[1] and len(roots[0]) > 60
+
+
+@pytest.mark.parametrize("long, pair_bits, most", [(False, 24, 4.0), (True, 36, 0.2)])
+def test_simhash_comparisons_of_uniform_prints(long, pair_bits, most):
+    """Meetings of unrelated prints for each key of a million prints, measured on 20,000: linear until the keys are full."""
+    rng = np.random.default_rng(2)
+    n = 20_000 if not long else 4_000
+    row, key = simhash.keys(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1), long)
+    pairs = key[key >> 40 >= 16]
+    meetings = sum(c * (c - 1) / 2 for c in np.unique(pairs, return_counts=True)[1].tolist())
+    assert meetings / len(pairs) * (1_000_000 / n) < most
 
 
 def test_golay_is_perfect():
