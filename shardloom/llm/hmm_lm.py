@@ -9,7 +9,7 @@ whole; words left for the join are rare by construction, so no key is hot.
 
 Training is Baum-Welch: each task adds up expected transition and emission counts and Spark sums them by class. A text
 longer than SEGMENT tokens is worked on in pieces side by side; each piece reads WARM tokens on both sides too, which
-settle its states at the ends, and every token and every transition of the text is counted in just one piece. Every round runs over all training documents: BURN_IN rounds, then more until
+settle its states at the ends, and every token and every transition of the text is counted in just one piece. Every round runs over all training documents: at least LEAST_ROUNDS, until
 one gains less than GAIN nats a token. Scores are log10 probabilities by the scaled forward recursion over each
 whole text, with no cut.
 
@@ -32,7 +32,7 @@ from shardloom.llm.common import id_bucket, importable, map_rows, pieces, stored
 HEAD, TAIL = 32_768, 4_096
 STATES = 12
 SEGMENT, WARM = 256, 24
-BURN_IN, GAIN = 12, 0.002
+LEAST_ROUNDS, GAIN = 5, 0.01
 SMOOTH = 20.0
 FLUSH_WORDS = 400_000
 BATCH_TOKENS = 1 << 19
@@ -170,44 +170,59 @@ def expected(codes: list[np.ndarray], m: Model, length: int = SEGMENT, warm: int
     flat, a, long, own, end, begins = segments(codes, length, warm)
     top = int(long[0])
     active = np.searchsorted(-long, -np.arange(1, top + 1), side="right")
-    seen, alpha, scale = [], [], []
+    one = np.ones(len(m.start), np.float32)
+    seen, alpha, heard = [], [], []
+    fit = np.zeros(top)
     now = np.where(begins[:, None], m.start, m.inner)
     for t in range(top):
         n = active[t]
         c = flat[a[:n] + t]
-        now = (now if t == 0 else now[:n] @ m.step) * m.emit[c]
-        s = np.maximum(now.sum(1), 1e-30)
-        now = now / s[:, None]
+        e = m.emit[c]
+        now = (now if t == 0 else now[:n] @ m.step) * e
+        s = np.maximum(now @ one, np.float32(1e-30))
+        mine = (own[:n] <= t) & (t < end[:n])
+        fit[t] = np.log(s).sum(where=mine, dtype=np.float64)
+        s = (1 / s)[:, None]
+        now *= s
+        e *= s
         seen.append(c)
         alpha.append(now)
-        scale.append(s)
+        heard.append(e)
+    # alpha and beta are scaled alike, so their product is the states' share; it takes alpha's place.
     moves = np.zeros_like(m.step, np.float64)
-    gamma, tokens_, fit = [], [], np.zeros(top)
     start = np.zeros(len(m.start))
+    counted: list[np.ndarray | None] = [None] * top
     beta = np.ones_like(alpha[-1])
     for t in range(top - 1, -1, -1):
         n = active[t]
         mine = (own[:n] <= t) & (t < end[:n])
-        g = alpha[t] * beta
-        g /= np.maximum(g.sum(1, keepdims=True), 1e-30)
-        some = g[mine]
-        gamma.append(some)
-        tokens_.append(seen[t][mine])
-        fit[t] = np.log(scale[t][mine]).sum()
+        whole = bool(mine.all())
+        share = alpha[t] * beta
         if t:
-            back = m.emit[seen[t]] * beta / scale[t][:, None]
-            moves += alpha[t - 1][:n].T @ (back * mine[:, None])
+            back = heard[t]
+            back *= beta
+            moves += alpha[t - 1][:n].T @ (back if whole else back * mine[:, None])
             beta = np.ones_like(alpha[t - 1])
-            beta[:n] = back @ m.step.T
+            np.matmul(back, m.step.T, out=beta[:n])
         else:
-            start = g[begins[:n] & (own[:n] == 0)].sum(0, dtype=np.float64)
-    return start, moves * m.step, np.concatenate(tokens_), np.concatenate(gamma), fit
+            start = share[begins[:n] & (own[:n] == 0)].sum(0, dtype=np.float64)
+        alpha[t] = share if whole else share[mine]
+        counted[t] = seen[t] if whole else seen[t][mine]
+    return start, moves * m.step, np.concatenate(counted), np.concatenate(alpha), fit
+
+
+def _added(code: np.ndarray, share: np.ndarray, total: np.ndarray) -> None:
+    """Adds each token's state shares to its class."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    total[code[first]] += np.add.reduceat(share[order], first, axis=0)
 
 
 def _grouped(batch: list[bytes], most: int = BATCH_TOKENS):
     part, n = [], 0
     for x in batch:
-        c = np.frombuffer(x, np.uint16).astype(np.int64)
+        c = np.frombuffer(x, np.uint16)
         part.append(c)
         n += len(c)
         if n >= most:
@@ -233,8 +248,7 @@ def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model,
                 fit[0] += logs.sum()
                 start += first
                 moves += move
-                for k in range(states):
-                    emit[:, k] += np.bincount(code, weights=share[:, k], minlength=len(emit))
+                _added(code, share, emit)
         at = np.flatnonzero(emit.any(1))
         yield {"class": at.tolist(), **{name: emit[at, k].tolist() for k, name in enumerate(names)}}
         extra = np.concatenate([moves, start[None], fit[None]])
@@ -261,7 +275,7 @@ def round_of(rows: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model,
 def baum_welch(rows: DataFrame, shares: np.ndarray, states: int = STATES, burn_in: int | None = None, gain: float = GAIN) -> Model:
     """rows: (classes) of the training documents, all of them in every round."""
     model, before, done = first_model(shares, states), -np.inf, 0
-    least = BURN_IN if burn_in is None else burn_in
+    least = LEAST_ROUNDS if burn_in is None else burn_in
     while True:
         model, fit = round_of(rows, model, shares)
         done += 1
