@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. A block has its words, its link density (share of words inside
 links), those of the blocks before and after it, and what kind of container holds it. A decision tree (Gini, fitted
-here to TABLE) says whether a block is main text; main blocks are joined in page order by one space.
+here to TABLE, whose rows are blocks of pages, with and without containers) says whether a block is main text; main
+blocks are joined in page order by one space. Adverts beside the main text are told by the blocks around them: short
+text after links and before a heading; their names count only inside a main container, where any block is text.
 
 An element is hidden by its attribute `hidden`, by display:none in its style or by aria-hidden=true; hidden text is
 never main text. The words of class, id and role tell containers apart; the ids of headings, paragraphs and inline
@@ -13,13 +15,16 @@ Comments, scripts, styles, heads and the like are never text. Character referenc
 a block becomes one space and is trimmed. Null, empty and markup-free pages: no html gives an empty text; text
 without tags is one block like any other. Unclosed and misnested tags are tolerated: an end tag closes up to its
 nearest open partner, an unended tag or comment runs to the end of the page. Pages are read whole; repeated rows
-give repeated results; pages without a main block give an empty text.
+give repeated results; pages without a main block give an empty text. Ties in the tree go to the first feature and
+the lower threshold, and a share of one half is main text. Other columns are not looked at, whatever their names; a
+table without rows gives none. Work grows in proportion to the page, whatever its tags.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -37,6 +42,8 @@ MAIN_TAGS = frozenset("article main".split())
 #: Words in class, id or role that name what is not the article.
 OUTSIDE_WORDS = frozenset("ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popular popup promo promotion recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toc toolbar trending widget".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
+#: Outside words that tell something only inside a main container. Elsewhere the blocks around an advert tell it apart.
+ADVERT_WORDS = frozenset("ad ads advert advertisement adverts banner promo promotion sponsor sponsored".split())
 #: Outside words that no main word beside them cancels.
 COMMENT_WORDS = frozenset("comment comments disqus reply replies".split())
 #: Words that may stand beside an outside word in the id of a section that is no anchor.
@@ -89,6 +96,37 @@ TABLE = """
 26 0.00 30 0.00 3 1.00 0 0 : 1
 35 0.00 4 1.00 3 1.00 0 0 : 1
 4 0.00 0 0.00 0 0.00 0 0 : 1
+9 0.00 1 1.00 45 0.00 0 0 : 1
+13 0.00 2 1.00 70 0.00 0 0 : 1
+5 0.00 4 1.00 120 0.00 0 0 : 1
+11 0.00 1 1.00 300 0.00 0 0 : 1
+16 0.00 1 1.00 11 0.00 0 0 : 1
+24 0.00 2 1.00 9 0.00 0 0 : 1
+60 0.00 1 1.00 14 0.00 0 0 : 1
+10 0.00 9 0.00 8 0.00 0 0 : 1
+12 0.00 20 0.00 11 0.00 0 0 : 1
+9 0.00 1 1.00 8 0.00 0 1 : 1
+8 0.00 1 1.00 22 0.00 0 1 : 1
+12 0.00 1 1.00 9 0.00 0 1 : 1
+5 0.00 1 1.00 10 0.00 0 1 : 1
+4 0.00 2 1.00 6 0.00 0 1 : 1
+6 0.00 3 1.00 30 0.00 0 1 : 1
+11 0.00 2 1.00 0 0.00 0 1 : 1
+9 0.00 1 1.00 8 0.00 0 0 : 0
+9 0.00 2 1.00 8 0.00 0 0 : 0
+7 0.00 3 1.00 10 0.00 0 0 : 0
+12 0.00 4 1.00 12 0.00 0 0 : 0
+11 0.00 2 1.00 16 0.00 0 0 : 0
+12 0.00 1 1.00 9 0.00 0 0 : 0
+8 0.00 1 1.00 10 0.00 0 0 : 0
+5 0.00 1 1.00 10 0.00 0 0 : 0
+11 0.00 1 1.00 11 0.00 0 0 : 0
+6 0.00 1 1.00 14 0.00 0 0 : 0
+4 0.00 1 1.00 1 0.00 0 0 : 0
+13 0.00 1 1.00 2 0.00 0 0 : 0
+10 0.00 1 1.00 30 0.00 0 0 : 0
+13 0.00 1 1.00 24 0.00 0 0 : 0
+4 0.00 1 1.00 18 0.00 0 0 : 0
 1 1.00 0 0.00 1 1.00 0 0 : 0
 2 1.00 0 0.00 0 0.00 0 0 : 0
 9 1.00 0 0.00 0 0.00 0 0 : 0
@@ -131,7 +169,7 @@ TABLE = """
 5 0.00 5 0.00 5 0.00 1 1 : 0
 100 0.00 100 0.00 100 0.00 1 1 : 0
 """
-MAX_DEPTH = 6
+MAX_DEPTH = 9
 
 
 class Block:
@@ -170,6 +208,8 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
         return []
     found: list[tuple[str, Block]] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # open elements: name, outside, main, in a link, hidden
+    open_: Counter[str] = Counter()
+    unended: set[str] = set()  # raw elements without an end tag from here on
     state = (False, False, False, False)
     now = Block(False, False)
 
@@ -215,7 +255,9 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
         if name in RAW_TAGS and not m[1]:
             if attrs.endswith("/"):
                 continue
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = None if name in unended else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is None:
+                unended.add(name)
             if end:
                 at = end.end()
             elif name in ("script", "style", "textarea", "title"):
@@ -224,21 +266,26 @@ def blocks(page: str | None) -> list[tuple[str, Block]]:
         if name in BLOCK_TAGS:
             close()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth >= 0:
-                state = stack[depth][1:]
-                del stack[depth:]
+            while open_[name]:  # elements that are closed by it are looked at once
+                last, *rest = stack.pop()
+                open_[last] -= 1
+                if last == name:
+                    state = tuple(rest)
+                    break
         elif name not in VOID_TAGS and not attrs.endswith("/"):
             if name in ENDED_BY_SELF and stack and stack[-1][0] == name:  # an implied end
                 state = stack.pop()[1:]
+                open_[name] -= 1
             stack.append((name, *state))
+            open_[name] += 1
             outside, main, link, hidden = state
             hint, unseen = named(name, attrs) if attrs else ((), False)
             if name in MAIN_TAGS:
                 main, outside = True, bool(hint and hint & OUTSIDE_WORDS) or (outside and main)
             elif name not in ("html", "body"):
                 # An article's own header is part of it; other outside tags are not, wherever they stand.
-                outside = outside or (name in OUTSIDE_TAGS and not (name == "header" and main)) or bool(hint and hint & OUTSIDE_WORDS and (hint & COMMENT_WORDS or not hint & MAIN_WORDS))
+                told = hint and hint & (OUTSIDE_WORDS if main else OUTSIDE_WORDS - ADVERT_WORDS)
+                outside = outside or (name in OUTSIDE_TAGS and not (name == "header" and main)) or bool(told and (hint & COMMENT_WORDS or not hint & MAIN_WORDS))
                 main = main or bool(hint and hint & MAIN_WORDS)
             state = (outside, main, link or name == "a", hidden or unseen)
         if name in BLOCK_TAGS:

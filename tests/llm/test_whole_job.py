@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -83,6 +85,54 @@ def test_long_prose_stays_in_a_container_that_speaks_against_it():
     assert html_text.main_text(f"<article><p>Ok.</p><div hidden>{form}</div></article>") == "Ok."
 
 
+def pages_of(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+
+
+def test_pages_give_their_article(spark):
+    """Against a plain reading of pages of one known form: what stands in <article>, block by block."""
+    import html as entities
+
+    for page in pages_of(spark):
+        body = page[page.index("<article>") + 9 : page.index("</article>")]
+        blocks = re.split(r"</?(?:h1|p|br|div|ul|li)[^>]*>", body)
+        found = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert html_text.main_text(page) == " ".join(b for b in found if b)
+
+
+def test_neighbours_decide_and_class_names_do_not(spark):
+    changed = total = 0
+    for page in pages_of(spark):
+        x = html_text.features(html_text.blocks(page))
+        alone = x.copy()
+        alone[:, 2:6] = 0
+        kept = html_text.shares(html_text.tree(), x) >= 0.5
+        changed += int((kept != (html_text.shares(html_text.tree(), alone) >= 0.5)).any())
+        total += 1
+        assert html_text.main_text(re.sub(r' (class|id|role)="[^"]*"', "", page)) == html_text.main_text(page)
+    assert changed > total / 2
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>x" * 100_000, "<svg>" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<p>a<a href='" * 60_000, "&" * 500_000, "<!--" * 200_000, "<ul>" + "<li>x" * 150_000])
+def test_work_grows_with_the_page(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav><a href=x>Home</a></nav><article><h1>A short title</h1><p>Few words.</p></article>", "A short title Few words."),
+        ("<ul><li><a>Home</a><li><a>News</a></ul><div>Buy more of this now please</div><h1>A title of the page</h1><p>" + "word " * 60 + "</p>", "A title of the page " + "word " * 59 + "word"),
+        ("<article><p>One two.</p><ul><li><a>See</a></ul><p>Then a few more words.</p><div class=ad>Buy it now</div><p>End.</p></article>", "One two. See Then a few more words. End."),
+        ("<p>Only this.</p>", "Only this."),
+    ],
+)
+def test_adverts_by_their_neighbours(page, text):
+    assert html_text.main_text(page) == text
+
+
 # -- languages --
 
 
