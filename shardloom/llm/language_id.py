@@ -8,8 +8,11 @@ PENALTY * log(trigrams)). Sets grow by the full mixture's proportions, up to all
 larger set can still win: the full mixture's likelihood plus its duality gap bounds what any set reaches. The prediction is the largest proportion of the chosen set.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. Ties go to
-the smaller language name. Texts are read whole. Repeated rows count, and are answered, each. The model is
-BUCKETS floats a language; more than MAX_LANGS languages are refused rather than cut.
+the smaller language name. Texts are read whole. Repeated rows count, and are answered, each. Other columns are not
+looked at, whatever their names; a table without rows has none in the result.
+
+The model, which every executor gets, has at most CELLS numbers: with more than CELLS / BUCKETS languages the buckets
+are joined, two by two, until it fits. Any number of languages is learned.
 """
 
 from __future__ import annotations
@@ -26,10 +29,18 @@ BUCKETS = 1 << 16
 ALPHA = 0.05
 PENALTY = 3.0
 STEPS, SET_STEPS = 8, 5
-MAX_LANGS = 1_000
+CELLS = 1 << 24
 CHUNK_CHARS = 2 << 20
 
 
+def folds_of(languages: int) -> int:
+    """How often the buckets are halved for so many languages."""
+    k = 0
+    while (BUCKETS >> k) * languages > CELLS and BUCKETS >> k > 256:
+        k += 1
+    return k
+
+
 @cache
 def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(1 << 16)])
@@ -76,11 +87,11 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
         yield from flush()
 
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias(lang_col), text_col)
-    found = map_rows(rows, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    fold = folds_of(rows.select(lang_col).distinct().count())
+    counted = map_rows(rows, run, "lang string, bucket int, n bigint")
+    found = counted.groupBy("lang", F.shiftright("bucket", fold).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     names, which = np.unique(np.array(found["lang"].to_pylist(), object), return_inverse=True) if found.num_rows else (np.array([], object), [])
-    if len(names) > MAX_LANGS:
-        raise ValueError(f"{len(names)} languages; the model takes {MAX_LANGS}")
-    counts = np.full((BUCKETS, len(names)), ALPHA)
+    counts = np.full((BUCKETS >> fold, len(names)), ALPHA)
     counts[found["bucket"].to_numpy(), which] += found["n"].to_numpy()
     return [str(x) for x in names], (counts / counts.sum(0, keepdims=True)).astype(np.float32)
 
@@ -100,9 +111,14 @@ def infer(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nd
     of, bucket = trigrams(texts)
     if not len(of) or not size:
         return chosen, shares
-    key, n = np.unique(of * BUCKETS + bucket, return_counts=True)
-    docs, first = np.unique(key // BUCKETS, return_index=True)
-    p, n = table[key % BUCKETS].astype(np.float64), n.astype(np.float64)
+    buckets = len(table)
+    key, n = np.unique(of * buckets + (bucket * buckets // BUCKETS), return_counts=True)
+    texts_of = key // buckets
+    if len(key) * size > CELLS and texts_of[0] != texts_of[-1]:  # by halves, so that little is held at once; one text has at most CELLS
+        half = len(texts) // 2
+        return tuple(np.concatenate(x) for x in zip(infer(texts[:half], table), infer(texts[half:], table)))
+    docs, first = np.unique(texts_of, return_index=True)
+    p, n = table[key % buckets].astype(np.float64), n.astype(np.float64)
     total = np.add.reduceat(n, first)
     local = np.repeat(np.arange(len(docs)), np.diff(np.append(first, len(key))))
     single = np.add.reduceat(n[:, None] * np.log(p), first, axis=0)
