@@ -6,13 +6,14 @@ with trusted positives P (labelled 1 in the training folds), unlabelled document
 class prior estimated as the share of 1 among all labelled training rows. Measures are cut into bins at the
 sample's quantiles and at even steps between its extremes, so the model is additive in the bins, plus the square root of hashed byte-pair shares.
 
-The fit uses at most SAMPLE positives and SAMPLE unlabelled documents, the first by hash of their id; the prior
-and the scores cover all rows. Labels, lang, source and doc_id are never inputs of a score.
+The fit uses at most SAMPLE positives and SAMPLE unlabelled documents, the first by hash of their id, with one text
+each (of several texts of an id, the least by hash); the prior and the scores cover all rows. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts have zero measures and get a score like any text; a document with labels of
 both kinds isn't a trusted positive; null labels or ids teach nothing; without positives every score is the prior
 (0.5 without labels); without unlabelled documents all labelled training documents serve, positives too, as the risk takes U for a mixture; repeated rows are each
-scored.
+scored; ties of hashes go to the smaller id or text; texts are read whole, however long. Other columns are not looked
+at, whatever their names; a table without documents has no rows in the result.
 """
 
 from __future__ import annotations
@@ -76,29 +77,34 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     p, u = model.inputs(positive), model.inputs(unlabelled)
     w, b = np.zeros(p.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
     mw, mb = np.zeros_like(w), np.float32(0)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    prior = np.float32(prior)
     for _ in range(STEPS):
-        zp, zu = p @ w + b, u @ w + b
-        gp, gu = sig(zp), sig(zu)  # l(-)' = sig(z); l(+)' = sig(z) - 1
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        plus = (prior * (p.T @ (gp - 1)) / len(p), prior * (gp - 1).mean())
-        minus = (u.T @ gu / len(u) - prior * (p.T @ gp) / len(p), gu.mean() - prior * gp.mean())
-        sign = 1.0 if negative >= 0 else -1.0
-        gw = (plus[0] if sign > 0 else 0) + sign * minus[0] + DECAY * w
-        gb = (plus[1] if sign > 0 else 0) + sign * minus[1]
-        mw, mb = 0.9 * mw + gw, 0.9 * mb + gb
+        _, gw, gb = risk(w, b, p, u, np.float32(prior))
+        mw, mb = 0.9 * mw + gw + DECAY * w, 0.9 * mb + gb
         w, b = w - RATE * mw, b - RATE * mb
     return Model(cuts, w.astype(np.float32), float(b))
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def risk(w: np.ndarray, b: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, float]:
+    """(non-negative risk, direction of its weights, of its bias): the gradient, but turned round while the second part is below 0."""
+    zp, zu = p @ w + b, u @ w + b
+    gp, gu = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))  # l(-)' = sigmoid(z); l(+)' = sigmoid(z) - 1
+    first, second = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    plus = (prior * (p.T @ (gp - 1)) / len(p), prior * (gp - 1).mean())
+    minus = (u.T @ gu / len(u) - prior * (p.T @ gp) / len(p), gu.mean() - prior * gp.mean())
+    if second < 0:
+        return float(first), -minus[0], -minus[1]
+    return float(first + second), plus[0] + minus[0], plus[1] + minus[1]
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """(mark, x) of rows (mark, text)."""
+
     def run(batches):
         for b in batches:
-            for x in pieces(b, text_col):
-                yield {"mark": x["mark"], "x": [measures(t).tobytes() for t in x[text_col]]}
+            for x in pieces(b, "text"):
+                yield {"mark": x["mark"], "x": [measures(t).tobytes() for t in x["text"]]}
 
-    return map_rows(docs.select("mark", text_col), run, "mark int, x binary")
+    return map_rows(docs.select("mark", "text"), run, "mark int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[Model | None, float]:
@@ -110,12 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None, 0.5
     prior = min(0.99, max(0.01, float(ones) / n))
     first = lambda df: df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    plain = docs.where(F.col(id_col).isNotNull())
+    plain = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col(id_col).isNotNull())
     positive = first(taught.where("low = 1"))
     # With labels on every document all of `taught` serve: U without positives would make the second part negative.
     for others in (plain.select(id_col).join(known.select(id_col), id_col, "left_anti"), taught):
         marks = positive.withColumn("mark", F.lit(1)).unionByName(first(others).withColumn("mark", F.lit(0)))
-        got = _measured(plain.join(F.broadcast(marks), id_col), id_col, text_col).toArrow()  # at most 2 * sample ids
+        one = plain.join(F.broadcast(marks), id_col).groupBy("mark", id_col).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        got = _measured(one).toArrow()  # at most 2 * sample rows
         x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_STATS + PAIRS)
         mark = got["mark"].to_numpy()
         if (mark == 0).any():

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
 import re
 import time
@@ -154,9 +155,61 @@ def test_a_small_share_of_a_long_text():
     assert chosen.tolist() == [0, 0] and abs(shares[0, 1] - 0.015) < 0.002 and shares[0, 2] == 0 and (shares[1] > 0).tolist() == [True, False, False]
 
 
+def test_language_sets_against_all_sets():
+    """Penalised likelihoods of all 31 sets of five languages, each by many EM steps."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    table = rng.dirichlet(np.full(language_id.BUCKETS, 0.02), 5).T.astype(np.float32) + np.float32(1e-9)
+    alphabet = "abcdefghijklm"
+    for k in range(12):
+        words = ["".join(rng.choice(list(alphabet), 3)) for _ in range(40)]
+        text = " ".join(rng.choice(words, 300))
+        of, bucket = language_id.trigrams([text])
+        p, n = table[bucket].astype(np.float64), len(bucket)
+        scores = {}
+        for size in range(1, 6):
+            for some in combinations(range(5), size):
+                share = np.full(size, 1 / size)
+                for _ in range(400):
+                    r = p[:, some] * share
+                    share = (r / r.sum(1, keepdims=True)).mean(0)
+                scores[some] = np.log((p[:, some] * share).sum(1)).sum() - (size - 1) * language_id.PENALTY * np.log(n + 1)
+        _, shares = language_id.infer([text], table)
+        got = tuple(np.flatnonzero(shares[0] > 0).tolist())
+        assert max(scores.values()) - scores[got] < 0.02 * abs(max(scores.values())), (k, got)
+
+
+def test_many_languages(spark):
+    """More languages than the model has room for with all buckets: the buckets are joined."""
+    assert language_id.folds_of(4) == 0 and language_id.folds_of(256) == 0 and language_id.folds_of(1_000) == 2
+    table = np.full((language_id.BUCKETS >> 2, 3), 1e-7)
+    for i, w in enumerate(["aaa", "bbb", "ccc"]):
+        table[language_id.trigrams([w])[1] >> 2, i] = 1 / 3
+    chosen, _ = language_id.infer(["aaa " * 9, "bbb", None, "ccc ccc"], table.astype(np.float32))
+    assert chosen.tolist() == [0, 1, -1, 2]
+
+
 # -- positive-unlabelled quality --
 
 
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(0.5, 1, (40, 6)), rng.normal(0, 1, (70, 6))
+    for prior, scale in ((0.3, 0.1), (0.9, 3.0)):
+        w, b = rng.normal(0, scale, 6), 0.2
+        value, gw, gb = pu_quality.risk(w, b, p, u, prior)
+        loss = lambda z: math.log1p(math.exp(-z))
+        first = prior * sum(loss(float(x @ w + b)) for x in p) / len(p)
+        second = sum(loss(-float(x @ w + b)) for x in u) / len(u) - prior * sum(loss(-float(x @ w + b)) for x in p) / len(p)
+        assert math.isclose(value, first + max(0.0, second), rel_tol=1e-9)
+        if second >= 0:
+            for i in range(6):
+                step = np.eye(6)[i] * 1e-6
+                slope = (pu_quality.risk(w + step, b, p, u, prior)[0] - pu_quality.risk(w - step, b, p, u, prior)[0]) / 2e-6
+                assert math.isclose(slope, gw[i], rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_labels_on_every_document(spark):
     rng = random.Random(0)
     words = {1: ["the", "of", "thing", "paper"], 0: ["A###", "B%%%", "C&&&"]}
