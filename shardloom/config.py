@@ -72,6 +72,7 @@ class Strategy:
 class KeyGenerator:
     column: str = ""
     type: str = "snowflake"
+    properties: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass

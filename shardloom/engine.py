@@ -179,9 +179,10 @@ class Engine:
                 out[name] = False
         return out
 
-    def key_generator(self, name: str) -> keys.Generator:
+    def table_keys(self, name: str, version: int) -> keys.TableKeys:
+        """The keys that a statement on a version of a store may give out."""
         rule = self.router[name].rule.key_generator
-        return keys.generator(rule.type if rule else "snowflake")
+        return keys.TableKeys(rule.type if rule else "snowflake", rule.properties if rule else {}, self.store(name).high(version))
 
     def close(self) -> None:
         for view in self.views:

@@ -103,11 +103,19 @@ def named(name: str = "default") -> Generator:
     return _NAMED[name]
 
 
-def with_snowflake(df: DataFrame, column: str, now_ms: int | None = None) -> DataFrame:
-    """df with distinct snowflake ids, without a shuffle: partition and place in it make worker, centre and sequence;
-    time runs ahead by one millisecond for every 4,096 rows of a partition, and by a lane for every 1,024 partitions.
-    Ids depend on the partitioning: write the rows before the ids are used twice."""
+def with_snowflake(df: DataFrame, column: str, now_ms: int | None = None, worker: int | None = None, centre: int = 0) -> DataFrame:
+    """df with distinct snowflake ids, without a shuffle. Time runs ahead by one millisecond for every 4,096 rows.
+
+    Without a worker, partition and place in it make worker, centre and sequence, and time also runs ahead by a lane for
+    every 1,024 partitions. With one, rows are numbered over all partitions (with_increment) and all have that worker.
+    Ids depend on the partitioning: write the rows before the ids are used twice.
+    """
     ms = now_ms if now_ms is not None else time.time_ns() // 1_000_000
+    if worker is not None:
+        number = F.col(column) - 1
+        at = F.lit(ms - EPOCH_MS) + F.shiftright(number, SEQUENCE_BITS)
+        key = F.shiftleft(at, _TIME_SHIFT) + F.lit(centre << _CENTRE_SHIFT | worker << _WORKER_SHIFT) + number % (1 << SEQUENCE_BITS)
+        return with_increment(df, column).withColumn(column, key.cast("bigint"))
     row = F.monotonically_increasing_id()
     part, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
     lane = part % 1024
@@ -117,6 +125,49 @@ def with_snowflake(df: DataFrame, column: str, now_ms: int | None = None) -> Dat
     return df.withColumn(column, key.cast("bigint"))
 
 
+def with_uuid(df: DataFrame, column: str) -> DataFrame:
+    """df with keys as Uuid makes them. They have 32 random bits, so in large tables some repeat, by their definition."""
+    return df.withColumn(column, F.conv(F.hex(F.substring(F.expr("uuid()"), 1, 8)), 16, 10).cast("bigint"))
+
+
+class TableKeys:
+    """Keys of one table's rule that never repeat: each statement starts above the table's highest key so far."""
+
+    def __init__(self, kind: str, options: dict[str, int], high: int | None):
+        self.kind, self.high = kind.lower(), high
+        made = generator(kind, **options)  # checks the options
+        if isinstance(made, Snowflake):
+            self._worker, self._centre = made.worker, made.centre
+            self._own = any(k.lower().startswith(("worker", "node", "datacenter", "centre")) for k in options)
+            self._start = max(time.time_ns() // 1_000_000, -1 if high is None else high + 1)
+        elif isinstance(made, Increment):
+            self._start, self._step = made._value if high is None else high, made.step
+        self._made = made
+
+    def some(self, n: int) -> list[int]:
+        if isinstance(self._made, Snowflake):
+            return [compose(self._start + (i >> SEQUENCE_BITS), self._centre, self._worker, i & (1 << SEQUENCE_BITS) - 1) for i in range(n)]
+        if isinstance(self._made, Increment):
+            return [self._start + self._step * (i + 1) for i in range(n)]
+        return [self._made.next() for _ in range(n)]
+
+    def column(self, df: DataFrame, name: str) -> DataFrame:
+        if isinstance(self._made, Snowflake):
+            return with_snowflake(df, name, self._start, self._worker if self._own else None, self._centre)
+        if isinstance(self._made, Increment):
+            return with_increment(df, name, self._start, self._step)
+        return with_uuid(df, name)
+
+    def highest(self, keys: DataFrame, name: str) -> int | None:
+        """What the next statement must start above, from the rows that this one wrote."""
+        if isinstance(self._made, Uuid):
+            return self.high
+        top = keys.agg((F.max if not isinstance(self._made, Increment) or self._step > 0 else F.min)(name)).first()[0]
+        if top is None:
+            return self.high
+        return fields(top)["ms"] if isinstance(self._made, Snowflake) else top
+
+
 def with_increment(df: DataFrame, column: str, start: int = 0, step: int = 1) -> DataFrame:
     """df with start + step, start + 2 * step, ...: partition sizes are counted first, so rows stay where they are."""
     numbered = df.withColumn("__row", F.monotonically_increasing_id())

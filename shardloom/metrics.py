@@ -7,8 +7,9 @@ import threading
 import time
 from collections.abc import Iterator
 
-# Upper bounds of duration histograms, in seconds.
-BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
+# Upper bounds of duration histograms of queries and of transactions, in seconds.
+BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
+TRANSACTION_BOUNDS = (0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
 
 
 class Metric:
@@ -105,7 +106,7 @@ class ShardingMetrics:
         self.routes = c.add(Counter("sharding_routes_total"))
         self.cross_shard = c.add(Counter("sharding_cross_shard_queries_total"))
         self.transaction_total = c.add(Counter("sharding_transaction_total"))
-        self.transaction_duration = c.add(Histogram("sharding_transaction_duration_seconds"))
+        self.transaction_duration = c.add(Histogram("sharding_transaction_duration_seconds", bounds=TRANSACTION_BOUNDS))
         self.transaction_errors = c.add(Counter("sharding_transaction_errors_total"))
 
     def route(self, table: str, nodes: int) -> None:

@@ -6,21 +6,25 @@ committed at the end, so the rows read are those of the version the statement be
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shardloom.functions import keys
 from shardloom.plans import dialect as D
 from shardloom.plans.router import DS, TBL
 from shardloom.sources.catalog import TX, Change, Store, node_filter
+from shardloom.sources.nodes import Node
 
 if TYPE_CHECKING:
     from shardloom.engine import Engine, Result
 
+_VIEWS = itertools.count()
+
 
 @dataclass
 class Write:
@@ -165,8 +169,10 @@ def execute(engine: Engine, text: str, args: tuple, into: list | None = None) ->
         engine.register(m[1], _select(engine, m[2], statement.args(args)))
         return Result(0)
     if head not in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
-        engine.spark.sql(_ddl(statement.sql), args=statement.args(args) or None)
-        return Result(0)
+        if (rows := _logical_ddl(engine, statement.sql)) is not None:
+            return Result(0, None, rows)
+        shown = engine.spark.sql(_ddl(statement.sql), args=statement.args(args) or None)
+        return Result(0, None, shown if head in ("SHOW", "DESCRIBE", "DESC") else None)
     w = parse(statement.sql)
     given = {k: v for k, v in statement.args(args).items()}
     if w.table not in engine.logical:
@@ -181,11 +187,45 @@ def execute(engine: Engine, text: str, args: tuple, into: list | None = None) ->
 def _ddl(sql: str) -> str:
     """What other dialects say about columns and Spark doesn't."""
     sql = re.sub(r"\b(AUTO_INCREMENT|PRIMARY KEY|UNIQUE)\b(?!\s*\()", "", sql, flags=re.I)
-    if re.match(r"\s*CREATE\s+(UNIQUE\s+)?(INDEX|TRIGGER)\b", sql, re.I):
-        return "SELECT 1"  # neither has a meaning for Parquet
+    if re.match(r"\s*CREATE\s+(OR\s+REPLACE\s+)?(CONSTRAINT\s+)?TRIGGER\b", sql, re.I):
+        raise D.DialectError("triggers aren't run; give the column's value in the statement that writes")
+    if re.match(r"\s*(CREATE\s+(UNIQUE\s+)?|DROP\s+)INDEX\b", sql, re.I):
+        return "SELECT 1"  # Parquet has statistics instead of indexes
     return sql
 
 
+def _logical_ddl(engine: Engine, sql: str) -> DataFrame | None:
+    """ALTER, DROP, SHOW and DESCRIBE of logical tables: rows to show, or None if the statement is about something else."""
+    done = engine.spark.createDataFrame([], "done string")
+    table = r"(?:TABLE\s+)?`?(\w+)`?"
+    if re.fullmatch(r"\s*SHOW\s+TABLES\s*", sql, re.I):
+        plain = engine.spark.sql("SHOW TABLES").select(F.col("tableName").alias("table"))
+        logical = engine.spark.createDataFrame([(n,) for n in sorted(engine.logical)], "table string")
+        return logical.unionByName(plain.where(~F.col("table").startswith("__"))).distinct()
+    if m := re.fullmatch(rf"\s*(?:DESCRIBE|DESC|SHOW\s+(?:FULL\s+)?COLUMNS\s+(?:FROM|IN))\s+{table}\s*", sql, re.I):
+        if m[1] in engine.logical:
+            fields = engine.logical[m[1]].view().schema.fields
+            return engine.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in fields], "col_name string, data_type string")
+        return None
+    if m := re.fullmatch(r"\s*DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?`?(\w+)`?(?:\s+(?:CASCADE|RESTRICT))?\s*", sql, re.I):
+        if m[1] in engine.logical:
+            del engine.logical[m[1]]  # its files stay: other readers may be at a version of them
+            return done
+        return None
+    if m := re.fullmatch(r"\s*ALTER\s+TABLE\s+`?(\w+)`?\s+(.*?)\s*", sql, re.I | re.S):
+        if m[1] not in engine.logical:
+            return None
+        store = engine.store(m[1])
+        if n := re.fullmatch(r"ADD\s+(?:COLUMN\s+)?`?(\w+)`?\s+(\w+(?:\s*\([\d\s,]*\))?)(?:\s+NULL)?", m[2], re.I):
+            store.add_column(T.StructField(n[1], T._parse_datatype_string(D.TYPES.get(n[2].upper(), n[2]))))
+        elif n := re.fullmatch(r"DROP\s+(?:COLUMN\s+)?`?(\w+)`?", m[2], re.I):
+            store.drop_column(n[1])
+        else:
+            raise D.DialectError(f"can't do this to a logical table: {m[2]}")
+        return done
+    return None
+
+
 def _finish(store: Store, change: Change, into: list | None) -> None:
     if into is None:
         store.commit(change)
@@ -204,7 +244,7 @@ def _select(engine: Engine, sql: str, given: dict[str, Any]) -> DataFrame:
 def _returned(engine: Engine, w: Write, rows: DataFrame) -> DataFrame | None:
     if not w.returning:
         return None
-    name = "__returning"
+    name = f"__returning_{next(_VIEWS)}"
     rows.createOrReplaceTempView(name)
     try:
         return engine.spark.sql(f"SELECT {w.returning} FROM {name} AS {w.alias or w.table}")
@@ -222,51 +262,81 @@ def _insert(engine: Engine, store: Store, w: Write, given: dict[str, Any], into:
     if len(columns) != len(rows.columns):
         raise D.DialectError(f"{len(columns)} columns, {len(rows.columns)} values")
     rows = rows.toDF(*columns)
-    rule, last = store.table.rule.key_generator, None
+    version = store.version()
+    rule, made, last = store.table.rule.key_generator, None, None
     if rule and rule.column and rule.column not in columns:
+        made = engine.table_keys(w.table, version)
         if w.source.upper().startswith("VALUE"):
-            n, make = rows.count(), engine.key_generator(w.table)
-            made = [make.next() for _ in range(n)]  # a row each that the statement's text spells out
-            last = made[-1] if made else None
+            given_out = made.some(rows.count())  # a row each that the statement's text spells out
+            last = given_out[-1] if given_out else None
             at = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
-            rows = rows.withColumn(rule.column, F.element_at(F.array(*map(F.lit, made)), at))
+            rows = rows.withColumn(rule.column, F.element_at(F.array(*map(F.lit, given_out)), at))
         else:
-            rows = keys.with_snowflake(rows, rule.column)
+            rows = made.column(rows, rule.column)
     rows = rows.select([(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-    version = store.version()
+
+    def high(leaves: list[str]) -> int | None:
+        return made.highest(_read(store, leaves), rule.column) if made else None
+
     if w.conflict is None and w.kind == "INSERT":
         leaves = store.written(rows)
         done = _read(store, leaves)
-        _finish(store, Change(version, add=leaves), into)
+        _finish(store, Change(version, add=leaves, high=high(leaves)), into)
         return Result(done.count(), last, _returned(engine, w, done))
     # Keys decide; of new rows with equal keys one stays.
     on = w.conflict or [rule.column if rule and rule.column else schema.names[0]]
     leaves = store.written(rows.dropDuplicates(on))
-    new, old = _read(store, leaves), store.frame(version).drop(DS, TBL, TX)
+    top = high(leaves)
+    new, old = _read(store, leaves), store.frame(version)
+    if set(store.table.columns) <= set(on):  # a key's old row can only be where the new one goes
+        old = old.where(node_filter(list({store.node_of(x) for x in leaves})))
     if w.do_update is None and w.kind == "INSERT":
         fresh = store.written(new.join(old.select(*on), on, "left_anti").select(*schema.names))
         store.discard(Change(version, add=leaves))
         done = _read(store, fresh)
-        _finish(store, Change(version, add=fresh), into)
+        _finish(store, Change(version, add=fresh, high=top), into)
         return Result(done.count(), last, _returned(engine, w, done))
-    # A key's old row may be on any node, unless the key is what rows are dealt by.
-    nodes = store.table.nodes
+    # Only nodes that hold a row with one of the keys are written again; their number is that of the nodes at most.
+    met = old.join(new.select(*on), on, "left_semi").select(DS, TBL).distinct().collect()
+    nodes = [Node(r[DS], r[TBL]) for r in met]
+    old = old.where(node_filter(nodes)).select(*schema.names) if nodes else engine.spark.createDataFrame([], schema)
     if w.kind == "REPLACE":
-        kept = old.join(new.select(*on), on, "left_anti").select(*schema.names)
-        change = store.replace(nodes, kept.unionByName(new), version)
+        change = store.replace(nodes, old.join(new.select(*on), on, "left_anti").select(*schema.names), version)
         affected = new.count() + old.join(new.select(*on), on, "left_semi").count()
+        added = leaves
     else:
-        pairs = old.alias(w.table).join(new.select(*[F.col(c).alias(f"__new_{c}") for c in schema.names]), [F.col(f"{w.table}.{c}") == F.col(f"__new_{c}") for c in on], "full")
-        matched = F.col(f"{w.table}.{on[0]}").isNotNull() & F.col(f"__new_{on[0]}").isNotNull()
-        sets = {c: F.expr(re.sub(r"(?i)\b(?:excluded\s*\.\s*|values\s*\(\s*)`?(\w+)`?(\s*\))?", r"__new_\1", e)) for c, e in w.do_update}
-        out = [F.when(matched, sets.get(c, F.col(f"{w.table}.{c}"))).otherwise(F.coalesce(F.col(f"{w.table}.{c}"), F.col(f"__new_{c}"))).alias(c) for c in schema.names]
+        renamed = new.select(*[F.col(c).alias(f"__new_{c}") for c in schema.names])
+        same = [F.col(f"{w.table}.{c}") == F.col(f"__new_{c}") for c in on]
+        pairs = old.alias(w.table).join(renamed, same, "left")
+        sets = {c: F.expr(_of_new(e)) for c, e in w.do_update}
+        matched = F.col(f"__new_{on[0]}").isNotNull()
+        out = [(F.when(matched, sets[c]).otherwise(F.col(f"{w.table}.{c}")) if c in sets else F.col(f"{w.table}.{c}")).alias(c) for c in schema.names]
         change = store.replace(nodes, pairs.select(*out), version)
+        added = store.written(new.join(old.select(*on), on, "left_anti").select(*schema.names))
         affected = new.count()
+    change.add, change.high = change.add + added, top
     _finish(store, change, into)
     done = _read(store, change.add).join(new.select(*on), on, "left_semi").select(*schema.names)
     return Result(affected, last, _returned(engine, w, done))
 
 
+def _of_new(sql: str) -> str:
+    """EXCLUDED.c and VALUES(c) as the joined new row's column; strings stay as they are."""
+    toks, out, i = D.code(sql), [], 0
+    while i < len(toks):
+        words = [t.word() for t in toks[i : i + 4]]
+        if words[:2] == ["EXCLUDED", "."] and len(words) > 2:
+            out.append(D.Token("name", f"`__new_{toks[i + 2].text.strip('`')}`"))
+            i += 3
+        elif words[:2] == ["VALUES", "("] and words[3:] == [")"]:
+            out.append(D.Token("name", f"`__new_{toks[i + 2].text.strip('`')}`"))
+            i += 4
+        else:
+            out.append(toks[i])
+            i += 1
+    return D._spaced(out)
+
+
 def _read(store: Store, leaves: list[str]) -> DataFrame:
     """Rows of leaf folders, of a version or not."""
     if not leaves:
@@ -289,10 +359,15 @@ def _merge(engine: Engine, sql: str, given: dict[str, Any], into: list | None) -
     r.take("ON")
     on = D._spaced(r.until("WHEN"))
     store = engine.store(table)
-    fields, version, view = store.schema.fields, store.version(), "__target"
-    base = store.frame(version).drop(DS, TBL, TX).withColumn("__row", F.monotonically_increasing_id())
-    base.createOrReplaceTempView(view)
+    fields, version, view = store.schema.fields, store.version(), f"__target_{next(_VIEWS)}"
+    every = store.frame(version).drop(TX)
+    every.createOrReplaceTempView(view)
     try:
+        # Only nodes that hold a matched row are written again.
+        met = _select(engine, f"SELECT DISTINCT {name}.{DS} AS ds, {name}.{TBL} AS tbl FROM {view} AS {name} JOIN {source} ON {on}", given).collect()
+        nodes = [Node(r["ds"], r["tbl"]) for r in met]
+        base = every.where(node_filter(nodes)) if nodes else every.limit(0)
+        base.drop(DS, TBL).withColumn("__row", F.monotonically_increasing_id()).createOrReplaceTempView(view)
         twice = _select(engine, f"SELECT {name}.__row FROM {view} AS {name} JOIN {source} ON {on} GROUP BY {name}.__row HAVING count(*) > 1", given)
         if not twice.isEmpty():
             raise D.DialectError(f"several source rows match one row of {table}")
@@ -326,7 +401,7 @@ def _merge(engine: Engine, sql: str, given: dict[str, Any], into: list | None) -
         kept.append(f"SELECT {same} FROM {joined} WHERE NOT ({earlier})")
         leaves = [x for q in written for x in store.written(_select(engine, q, given))]
         affected += _read(store, leaves).count()
-        change = store.replace(store.table.nodes, _select(engine, " UNION ALL ".join(kept), given), version)
+        change = store.replace(nodes, _select(engine, " UNION ALL ".join(kept), given), version) if nodes else Change(version)
         change.add += leaves
     finally:
         engine.spark.catalog.dropTempView(view)
@@ -357,7 +432,7 @@ def _change(engine: Engine, store: Store, w: Write, given: dict[str, Any], into:
     probe = f"SELECT * FROM {w.table} AS {name} WHERE {where}"
     nodes = engine._run(probe, _used(probe, given))[1][0][1]
     # The nodes' rows in two halves, so that a condition may hold subqueries.
-    view = "__target"
+    view = f"__target_{next(_VIEWS)}"
     base = store.frame(version).where(node_filter(nodes)).drop(DS, TBL, TX)
     base.createOrReplaceTempView(view)
     try:

@@ -7,6 +7,7 @@ with any casts) on either side, from left to right, which is how such operators
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from typing import Any
@@ -125,7 +126,8 @@ TYPES = {
 #: Functions that only differ in name.
 FUNCTIONS = {"ARRAY_TO_STRING": "array_join", "UNNEST": "explode", "JSONB_ARRAY_LENGTH": "json_array_length", "IFNULL": "ifnull", "GROUP_CONCAT": "string_agg", "RANDOM": "rand", "GEN_RANDOM_UUID": "uuid"}
 _FORMATS = [("YYYY", "yyyy"), ("HH24", "HH"), ("HH12", "hh"), ("MI", "mm"), ("SS", "ss"), ("DD", "dd"), ("MM", "MM")]
-_INFIX = {"->", "->>", "#>", "#>>", "@>", "<@", "?|", "?&", "&&", "@@", "~", "~*", "!~", "!~*"}
+_JSON_TYPES = ("JSONB", "JSON")
+_INFIX = {"||json", "->", "->>", "#>", "#>>", "@>", "<@", "?|", "?&", "&&", "@@", "~", "~*", "!~", "!~*"}
 _STOP = frozenset("SELECT FROM WHERE AND OR NOT ON WHEN THEN ELSE CASE BY IN LIKE ILIKE BETWEEN SET VALUES HAVING DISTINCT AS IS LIMIT OFFSET".split())
 
 
@@ -153,6 +155,7 @@ class _Writer:
     def run(self) -> Statement:
         self.literals()
         self.parameters()
+        self.json_concatenation()
         self.calls()
         self.casts()
         self.arrays()
@@ -189,6 +192,16 @@ class _Writer:
                 t.kind, t.text = "param", f":p{n}"
         self.params = [f"p{i}" for i in range(1, n + 1)]
 
+    def json_concatenation(self) -> None:
+        """Marks each || that joins JSON: an operand is cast to JSON or is a literal of an object or array."""
+        for i, t in enumerate(self.toks):
+            if t.text != "||" or not 0 < i < len(self.toks) - 1:
+                continue
+            before, after = self.toks[i - 1], self.toks[i + 1]
+            cast = before.word() in _JSON_TYPES and self.toks[i - 2].text == "::" or [x.word() for x in self.toks[i + 2 : i + 4]] in (["::", y] for y in _JSON_TYPES)
+            if cast or _json_literal(before) or _json_literal(after):
+                t.text = "||json"
+
     def key_test(self, at: int) -> bool:
         """Whether the `?` there stands between an operand and a string: JSON's operator, as no placeholder can."""
         before, after = self.toks[at - 1 : at], self.toks[at + 1 : at + 2]
@@ -360,6 +373,24 @@ def _string(body: str) -> str:
     return "'" + body.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _json_literal(t: Token) -> bool:
+    if t.kind != "string" or t.text[1:2] not in ("{", "["):
+        return False
+    try:
+        json.loads(t.text[1:-1].replace("\\'", "'").replace("\\\\", "\\"))
+    except ValueError:
+        return False
+    return True
+
+
+def _json_joined(a: str, b: str) -> str:
+    """Objects: the right one's keys count. Anything else joins as arrays do, a lone value being an array of one."""
+    left, right = (f"from_json({x}, 'map<string,variant>')" for x in (a, b))
+    both = f"map_concat(map_filter({left}, (k, v) -> NOT array_contains(map_keys({right}), k)), {right})"
+    items = ", ".join(f"CASE WHEN {x} LIKE '[%' THEN from_json({x}, 'array<variant>') ELSE array(parse_json({x})) END" for x in (a, b))
+    return f"CASE WHEN {a} LIKE '{{%' AND {b} LIKE '{{%' THEN to_json({both}) ELSE to_json(concat({items})) END"
+
+
 def _is_json(b: str) -> bool:
     return b.startswith("'") and b[1:2] in "{[" or b.startswith("('")
 
@@ -378,8 +409,6 @@ def _path(b: str) -> str:
 
 def _contains(a: str, b: str) -> str:
     """a @> b: arrays by difference, a JSON literal by its leaves. Nested JSON arrays contain by their elements' text."""
-    import json
-
     m = re.match(r"\(?('(?:[^'\\]|\\.)*')", b)
     if m is None or "array(" in b:
         return f"(size(array_except({b}, {a})) = 0)"
@@ -456,6 +485,7 @@ _CALLS: dict[str, Any] = {
     "JSONB_EXTRACT_PATH_TEXT": lambda a: f"get_json_object({a[0]}, concat_ws('.', '$', {', '.join(a[1:])}))",
 }
 _OPERATORS: dict[str, Any] = {
+    "||json": _json_joined,
     "->": lambda a, b: f"get_json_object({a}, {_key(b)})",
     "->>": lambda a, b: f"get_json_object({a}, {_key(b)})",
     "#>": lambda a, b: f"get_json_object({a}, {_path(b)})",

@@ -279,14 +279,15 @@ add("dialect_mysql_ifnull", "SELECT o_orderkey, IFNULL(NULLIF(o_orderstatus, \"F
 _STATE = "o_orderkey, o_custkey, o_orderstatus, CAST(cast(o_totalprice AS decimal(18,2)) AS double) AS o_totalprice"
 
 
-def _after(spark: SparkSession, sf_dir: str, *statements: str, dialect: str = "postgresql", returning: bool = False, key: str = "") -> DataFrame:
+def _after(spark: SparkSession, sf_dir: str, *statements: str, dialect: str = "postgresql", returning: bool = False, key: str = "", kind: str = "snowflake", properties: dict | None = None, state: str = _STATE, of: Any = None) -> DataFrame:
     made = rules()
     if key:
-        made["t_order"].key_generator = KeyGenerator(key)
+        made["t_order"].key_generator = KeyGenerator(key, kind, properties or {})
     e = Engine(spark, made, dialect)
     e.attach_store("t_order", scratch(spark, "store"), read(spark, sf_dir, "orders"))
     results = [e.execute(s) for s in statements]
-    return results[-1].returning if returning else e.sql(f"SELECT {_STATE} FROM t_order")
+    out = results[-1].returning if returning else e.sql(f"SELECT {state} FROM t_order")
+    return of(out) if of else out
 
 
 def write(name: str, oracle: str, *statements: str, **options: Any) -> None:
@@ -296,7 +297,39 @@ def write(name: str, oracle: str, *statements: str, **options: Any) -> None:
 
 
 write("dml_insert_values", f"SELECT {_STATE} FROM orders UNION ALL SELECT * FROM (VALUES (CAST(900000000001 AS bigint), CAST(4 AS bigint), 'X', CAST(1.5 AS double)), (900000000004, 7, 'Y', 2.5))", "INSERT INTO t_order (o_orderkey, o_custkey, o_orderstatus, o_totalprice) VALUES (900000000001, 4, 'X', 1.5), (900000000004, 7, 'Y', 2.5)")
-write("dml_insert_generated_key", "", "INSERT INTO t_order (o_custkey, o_orderstatus, o_totalprice) VALUES (4, 'X', 1.5), (7, 'Y', 2.5)", key="o_orderkey")
+@query("dml_insert_generated_key", "SELECT kind, 4 + 2 * (SELECT count(*) FROM orders) AS n, 0 AS repeated FROM (VALUES ('snowflake'), ('snowflake of a worker'), ('increment')) AS t(kind)")
+def _generated(spark, sf_dir):
+    """Four INSERTs, two of them of a query over all orders: no key comes twice."""
+    out = []
+    for kind, made in {"snowflake": KeyGenerator("o_orderkey"), "snowflake of a worker": KeyGenerator("o_orderkey", properties={"workerId": 3, "datacenterId": 2}), "increment": KeyGenerator("o_orderkey", "increment", {"start": 100, "step": 5})}.items():
+        all_rules = rules()
+        all_rules["t_order"].key_generator = made
+        e = Engine(spark, all_rules, "postgresql")
+        e.attach_store("t_order", scratch(spark, "store"), schema=read(spark, sf_dir, "orders").schema)
+        e.register("orders_in", read(spark, sf_dir, "orders"))
+        for _ in range(2):
+            e.execute("INSERT INTO t_order (o_custkey, o_orderstatus, o_totalprice) VALUES (4, 'X', 1.5), (7, 'Y', 2.5)")
+            e.execute("INSERT INTO t_order (o_custkey, o_orderstatus, o_totalprice) SELECT o_custkey, o_orderstatus, o_totalprice FROM orders_in")
+        out.append(e.sql("SELECT count(*) AS n, CAST(count(*) - count(DISTINCT o_orderkey) AS int) AS repeated FROM t_order").select(F.lit(kind).alias("kind"), "n", "repeated"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+write("dml_increment_keys", "SELECT CAST(105 AS bigint) + 5 * (row_number() OVER (ORDER BY c) - 1) AS o_orderkey, c AS o_custkey FROM (VALUES (CAST(1 AS bigint)), (2), (3), (4)) AS t(c)", "DELETE FROM t_order", "INSERT INTO t_order (o_custkey) VALUES (1), (2)", "INSERT INTO t_order (o_custkey) VALUES (3)", "INSERT INTO t_order (o_custkey) VALUES (4)", key="o_orderkey", kind="increment", properties={"start": 100, "step": 5}, state="o_orderkey, o_custkey")
+write("dml_upsert_keeps_literals", "SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'was excluded.o_orderstatus, not X' ELSE o_orderstatus END AS o_orderstatus FROM orders", "INSERT INTO t_order (o_orderkey, o_custkey, o_orderstatus) SELECT min(o_orderkey), 4, 'X' FROM t_order ON CONFLICT (o_orderkey) DO UPDATE SET o_orderstatus = 'was excluded.o_orderstatus, not ' || EXCLUDED.o_orderstatus", state="o_orderkey, o_orderstatus")
+write("dml_update_json_concat", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 1 THEN '{\"a\":1,\"b\":2}' ELSE o_orderstatus END AS o_orderstatus FROM orders", "UPDATE t_order SET o_orderstatus = '{\"a\":1,\"b\":0}' WHERE o_custkey % 3 = 1", "UPDATE t_order SET o_orderstatus = o_orderstatus || '{\"b\":2}'::jsonb WHERE o_custkey % 3 = 1", state="o_orderkey, o_orderstatus")
+write("ddl_alter_add_column", "SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'seen' END AS note FROM orders", "ALTER TABLE t_order ADD COLUMN note TEXT", "UPDATE t_order SET note = 'seen' WHERE o_custkey = 7", state="o_orderkey, note")
+write("ddl_describe", "SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint')) AS t(col_name, data_type)", "DESCRIBE t_order", returning=True, of=lambda df: df.where("col_name IN ('o_orderkey', 'o_custkey')"))
+
+
+@query("ddl_show_and_drop", "SELECT 't_order' AS shown, 1 AS before, 0 AS after")
+def _drop(spark, sf_dir):
+    e = engine(spark, sf_dir, only={"t_order"})
+    mine = "table = 't_order'"
+    before = e.execute("SHOW TABLES").returning.where(mine).count()
+    e.execute("DROP TABLE t_order")
+    return _rows(spark, [("t_order", before, e.execute("SHOW TABLES").returning.where(mine).count())], "shown string, before int, after int")
+
+
 write("dml_insert_select", f"SELECT {_STATE} FROM orders UNION ALL SELECT o_orderkey + 900000000000, o_custkey, 'C', CAST(cast(o_totalprice AS decimal(18,2)) AS double) FROM orders WHERE o_custkey = 7", "INSERT INTO t_order SELECT o_orderkey + 900000000000, o_custkey, 'C', o_totalprice, o_orderdate, o_orderpriority FROM t_order WHERE o_custkey = 7")
 write("dml_update_cow", f"SELECT {_STATE.replace('o_orderstatus', chr(39) + 'U' + chr(39) + ' AS o_orderstatus')} FROM orders WHERE o_custkey = 7 UNION ALL SELECT {_STATE} FROM orders WHERE o_custkey <> 7", "UPDATE t_order SET o_orderstatus = 'U' WHERE o_custkey = 7")
 write("dml_update_subquery", "SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice >= (SELECT max(o_totalprice) FROM orders) THEN 'M' ELSE o_orderstatus END AS o_orderstatus, CAST(cast(o_totalprice AS decimal(18,2)) AS double) AS o_totalprice FROM orders", "UPDATE t_order SET o_orderstatus = 'M' WHERE o_totalprice IN (SELECT max(o_totalprice) FROM t_order)")
@@ -337,6 +370,19 @@ def _txn(spark, sf_dir):
     return e.sql("SELECT (SELECT count(*) FROM t_order) AS orders_left, (SELECT count(*) FROM t_user) AS users_left")
 
 
+@query("txn_own_writes", "SELECT (SELECT count(*) FROM orders WHERE o_custkey <> 7 AND o_custkey <> 10) AS seen, (SELECT count(*) FROM orders) AS others_saw, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (7, 10)) AS after, (SELECT count(*) FROM orders WHERE o_custkey = 8) AS updated")
+def _txn_own(spark, sf_dir):
+    e = Engine(spark, rules(), "postgresql")
+    e.attach_store("t_order", scratch(spark, "store"), read(spark, sf_dir, "orders"))
+    total = "SELECT count(*) AS n FROM t_order"
+    with e.transaction() as tx:
+        tx.execute("DELETE FROM t_order WHERE o_custkey = 7")
+        tx.execute("UPDATE t_order SET o_orderstatus = 'T' WHERE o_custkey IN (8, 10)")
+        tx.execute("DELETE FROM t_order WHERE o_custkey = 10 AND o_orderstatus = 'T'")
+        seen, others = tx.sql(total).first()[0], e.sql(total).first()[0]
+    return e.sql(f"SELECT CAST({seen} AS bigint) AS seen, CAST({others} AS bigint) AS others_saw, count(*) AS after, count(CASE WHEN o_orderstatus = 'T' THEN 1 END) AS updated FROM t_order")
+
+
 # -- tools, as small DataFrames --
 _SAMPLES = {
     "point": "SELECT o_orderkey FROM t_order WHERE o_custkey = 7",

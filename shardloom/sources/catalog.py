@@ -8,8 +8,11 @@ only repeat tasks, and a reader keeps the version it began with.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,11 +102,30 @@ def jdbc_frames(spark: SparkSession, table: Table, sources: dict, **options: str
 
 @dataclass
 class Change:
-    """Leaf folders to add to a store and to leave out, on top of a version."""
+    """Leaf folders to add to a store and to leave out, on top of a version; and the highest generated key so far, if keys were generated."""
 
     base: int
     add: list[str] = field(default_factory=list)
     drop: list[str] = field(default_factory=list)
+    high: int | None = None
+
+    def then(self, later: Change) -> Change:
+        """Both, one after the other."""
+        gone = set(later.drop)
+        return Change(self.base, [x for x in self.add if x not in gone] + later.add, self.drop + [x for x in later.drop if x not in self.add], self.high if later.high is None else later.high)
+
+
+#: Changes of an open transaction, by store: what its own statements see.
+_PENDING: ContextVar[dict[int, Change]] = ContextVar("pending", default={})
+
+
+@contextlib.contextmanager
+def pending(changes: list[tuple[Store, Change]]) -> Iterator[None]:
+    token = _PENDING.set({id(store): change for store, change in changes})
+    try:
+        yield
+    finally:
+        _PENDING.reset(token)
 
 
 class Store(Logical):
@@ -124,11 +146,9 @@ class Store(Logical):
     def version(self) -> int:
         return max((int(x) for x in self._list(f"{self.path}/_manifests") if x.isdigit()), default=0)
 
-    def leaves(self, version: int | None = None) -> list[str]:
-        """Leaf folders of a version, relative to the store."""
-        version = self.version() if version is None else version
+    def _manifest(self, version: int) -> dict:
         if not version:
-            return []
+            return {"leaves": [], "high": None}
         fs, at = self._fs(f"{self.path}/_manifests/{version}")
         stream = fs.open(at)
         try:
@@ -136,6 +156,20 @@ class Store(Logical):
         finally:
             stream.close()
 
+    def leaves(self, version: int | None = None) -> list[str]:
+        """Leaf folders of a version, relative to the store, as an open transaction's statements see them."""
+        mine = _PENDING.get().get(id(self))
+        version = (mine.base if mine else self.version()) if version is None else version
+        found = self._manifest(version)["leaves"]
+        if mine and mine.base == version:
+            return [x for x in found if x not in set(mine.drop)] + mine.add
+        return found
+
+    def high(self, version: int) -> int | None:
+        """The highest generated key of a version: milliseconds of snowflake ids, values of increments."""
+        mine = _PENDING.get().get(id(self))
+        return mine.high if mine and mine.high is not None else self._manifest(version)["high"]
+
     @staticmethod
     def node_of(leaf: str) -> Node:
         parts = dict(p.split("=", 1) for p in leaf.split("/"))
@@ -174,18 +208,36 @@ class Store(Logical):
     def commit(self, change: Change) -> int:
         if self.version() != change.base:
             raise Conflict(f"{self.table.name} is at version {self.version()}, the change began at {change.base}")
-        leaves = [x for x in self.leaves(change.base) if x not in change.drop] + change.add
-        fs, at = self._fs(f"{self.path}/_manifests/{change.base + 1}")
+        old, gone = self._manifest(change.base), set(change.drop)
+        high = old["high"] if change.high is None else change.high
+        new = {"leaves": [x for x in old["leaves"] if x not in gone] + change.add, "high": high}
+        # Written aside and renamed without overwriting: a version is whole as soon as it can be seen, and only one writer makes it.
+        jvm = self.spark._jvm
+        fs, aside = self._fs(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(json.dumps(new).encode()))
+        stream.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 0)
+        place = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests/{change.base + 1}"))
         try:
-            stream = fs.create(at, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), place, how)
         except Exception as e:
+            fs.delete(aside, False)
             raise Conflict(f"{self.table.name}: version {change.base + 1} exists") from e
-        try:
-            stream.write(bytearray(json.dumps(leaves).encode()))
-        finally:
-            stream.close()
         return change.base + 1
 
+    def add_column(self, column: T.StructField) -> None:
+        """A column that older rows have as null; files stay as they are."""
+        if column.name in self.schema.names:
+            raise ValueError(f"{self.table.name} has a column {column.name}")
+        self.schema = T.StructType([*self.schema.fields, column])
+
+    def drop_column(self, name: str) -> None:
+        if name not in self.schema.names or name in self.table.columns:
+            raise ValueError(f"{self.table.name} has no column {name} that can go")
+        self.schema = T.StructType([f for f in self.schema.fields if f.name != name])
+
     def discard(self, change: Change) -> None:
         for tx in {x.split("/", 1)[0] for x in change.add}:
             fs, at = self._fs(f"{self.path}/{tx}")

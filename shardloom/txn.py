@@ -8,9 +8,11 @@ from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
 from shardloom.rw import on_primary
-from shardloom.sources.catalog import Change, Conflict, Store
+from shardloom.sources.catalog import Change, Conflict, Store, pending
 
 if TYPE_CHECKING:
+    from pyspark.sql import DataFrame
+
     from shardloom.engine import Engine, Result
 
 
@@ -31,7 +33,7 @@ def new_id() -> str:
 
 
 class Transaction:
-    """Statements write their files at once and are committed together, or discarded. One change a store."""
+    """Statements write their files at once and are committed together, or discarded. Each sees what those before it did."""
 
     def __init__(self, engine: Engine):
         self.engine, self.id, self.state = engine, new_id(), State.ACTIVE
@@ -46,15 +48,22 @@ class Transaction:
 
         self._need(State.ACTIVE)
         found: list[tuple[Store, Change]] = []
-        with on_primary():
+        with on_primary(), pending(self._changes):
             result = dml.execute(self.engine, text, args, found)
         for store, change in found:
-            if any(s is store for s, _ in self._changes):
-                store.discard(change)
-                raise TransactionError(f"{store.table.name} is already changed in {self.id}")
-            self._changes.append((store, change))
+            at = next((i for i, (s, _) in enumerate(self._changes) if s is store), None)
+            if at is None:
+                self._changes.append((store, change))
+            else:
+                self._changes[at] = (store, self._changes[at][1].then(change))
         return result
 
+    def sql(self, text: str, *args: Any) -> DataFrame:
+        """A query that sees the transaction's own changes."""
+        self._need(State.ACTIVE)
+        with on_primary(), pending(self._changes):
+            return self.engine.sql(text, *args)
+
     def prepare(self) -> None:
         """Checks that every store is still at the version its change began with."""
         self._need(State.ACTIVE)
@@ -74,6 +83,9 @@ class Transaction:
                 try:
                     store.commit(change)
                 except Conflict:
+                    # Stores that were committed before it get their old leaves back, so that none keeps half a transaction.
+                    for s, c in self._changes[:k]:
+                        s.commit(Change(c.base + 1, add=c.drop, drop=c.add))
                     for s, c in self._changes[k:]:
                         s.discard(c)
                     self.state = State.FAILED

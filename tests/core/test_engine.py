@@ -224,3 +224,71 @@ def test_jdbc_nodes(spark, tmp_path):
     assert rows(df) == [(1000,), (1001,)]
     plan = df._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and plan.split("== Physical Plan ==")[-1].count("JDBC") == 2
+
+
+@pytest.mark.parametrize(
+    "statement, nodes",
+    [
+        ("INSERT INTO t_order (order_id, user_id, status) VALUES (1000, 2, 'X') ON CONFLICT (order_id) DO UPDATE SET status = EXCLUDED.status", 1),
+        ("INSERT INTO t_order (order_id, user_id, status) VALUES (1000, 2, 'X') ON CONFLICT (order_id, user_id) DO UPDATE SET status = EXCLUDED.status", 1),
+        ("REPLACE INTO t_order (order_id, user_id, status) VALUES (1000, 2, 'X')", 1),
+        ("MERGE INTO t_order t USING (SELECT 1000 AS k) s ON t.order_id = s.k WHEN MATCHED THEN UPDATE SET status = 'X'", 1),
+        ("INSERT INTO t_order (order_id, user_id, status) VALUES (9000, 2, 'X') ON CONFLICT (order_id) DO UPDATE SET status = EXCLUDED.status", 0),
+    ],
+)
+def test_one_row_rewrites_one_node(engine, statement, nodes):
+    store = engine.store("t_order")
+    before = set(store.leaves())
+    engine.dialect = "mysql" if statement.startswith("REPLACE") else "postgresql"
+    engine.execute(statement)
+    assert len(before - set(store.leaves())) == nodes
+    assert engine.sql("SELECT count(*) FROM t_order WHERE status = 'X'").first()[0] == 1
+    assert engine.sql("SELECT count(*) FROM t_order").first()[0] == len(ORDERS) + (nodes == 0)
+
+
+def test_a_version_has_one_writer_and_is_whole(engine):
+    store = engine.store("t_order")
+    first, second = store.append(store.frame()), store.append(store.frame())
+    store.commit(first)
+    with pytest.raises(Conflict):
+        store.commit(second)
+    second.base = store.version() - 1
+    store.version = lambda: second.base  # a writer that hasn't seen the newer version yet
+    with pytest.raises(Conflict):
+        store.commit(second)
+    del store.version
+    assert store.version() == 2 and store.frame().count() == 2 * len(ORDERS)
+
+
+def test_no_store_keeps_half_a_transaction(engine):
+    tx = engine.transaction()
+    tx.execute("DELETE FROM t_order WHERE user_id = 2")
+    tx.execute("DELETE FROM t_user WHERE user_id = 2")
+    tx.prepare()
+    engine.execute("DELETE FROM t_user WHERE user_id = 3")
+    with pytest.raises(Conflict):
+        tx.commit()
+    assert tx.state is State.FAILED
+    assert engine.sql("SELECT count(*) FROM t_order").first()[0] == len(ORDERS) and engine.sql("SELECT count(*) FROM t_user").first()[0] == 7
+
+
+def test_statements_of_threads_do_not_meet(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(k):
+        return engine.execute(f"UPDATE {['t_order', 't_user'][k]} SET {['status', 'name'][k]} = 'T' WHERE user_id = {2 + k} RETURNING user_id").returning.collect()
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(run, (0, 1)))
+    assert {r[0] for r in found[0]} == {2} and {r[0] for r in found[1]} == {3}
+
+
+def test_triggers_are_refused(engine):
+    with pytest.raises(DialectError):
+        engine.execute("CREATE TRIGGER t BEFORE UPDATE ON t_order FOR EACH ROW EXECUTE FUNCTION f()")
+
+
+def test_json_concatenation(spark):
+    e = Engine(spark, {}, "postgresql")
+    got = e.sql("""SELECT '{"a": 1, "b": {"x": [1]}}'::jsonb || '{"a": "q"}' AS o, '[1]'::jsonb || '[2, "z"]'::jsonb AS l, 'a' || 'b' AS s""").first()
+    assert (got["o"], got["l"], got["s"]) == ('{"b":{"x":[1]},"a":"q"}', '[1,2,"z"]', "ab")
