@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +32,8 @@ from shardloom.llm.common import id_bucket, importable, map_rows, pieces, stored
 
 HEAD, TAIL = 32_768, 4_096
 STATES = 12
-SEGMENT, WARM = 256, 24
-LEAST_ROUNDS, GAIN = 5, 0.01
+SEGMENT, WARM = 320, 16
+LEAST_ROUNDS, GAIN = 4, 0.02
 SMOOTH = 20.0
 FLUSH_WORDS = 400_000
 BATCH_TOKENS = 1 << 19
@@ -115,12 +116,13 @@ def encoded(df: DataFrame, classes: Classes, id_col: str, text_col: str, fold) -
                 out = {"id": x["id"], "held_out": x["held_out"], "n_tokens": [], "classes": [], "n_head": [], "head_log": [], "tail": []}
                 for t in x[text_col]:
                     words = tokens(t)
-                    at = np.array([get(w, -1) for w in words], np.int64)
-                    rare = np.flatnonzero(at < 0)
-                    known = at[at >= 0]
-                    left: Counter[bytes] = Counter(words[i] for i in rare.tolist())
+                    at = np.array([get(w, -1) for w in words], np.int32)
+                    unknown = at < 0
+                    known = at[~unknown]
+                    rare = list(compress(words, unknown.tolist()))
+                    left: Counter[bytes] = Counter(rare)
                     where = {w: size + zlib.crc32(w) % tail for w in left}
-                    at[rare] = [where[words[i]] for i in rare.tolist()]
+                    at[unknown] = [where[w] for w in rare]
                     out["n_tokens"].append(len(words))
                     out["classes"].append(at.astype(np.uint16).tobytes())
                     out["n_head"].append(len(known))
